@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from alertweave import model
 from alertweave.operators import entities as E
+from alertweave.session import cut_lineage
 
 ENTITY = ["tenant_id", "entity_type", "entity_value"]
 SALTS = 32
@@ -77,11 +78,16 @@ def _bucket_pairs(left: DataFrame, right: DataFrame, window_us: int, both_ways:
     return a.join(b, key).where(order & _meets(window_us))
 
 
-def split_by_load(primary: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(calm, busy) rows: an entity is busy when more than limit + 1 signals share it."""
+def split_by_load(primary: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(calm, busy) rows: an entity is busy when more than limit + 1 signals share it.
+
+    Counting entities is one small job; where none is busy, busy is None and its plan left out.
+    """
     crowd = primary.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit + 1)
-    busy = crowd.select(*ENTITY)
-    return primary.join(busy, ENTITY, "left_anti"), primary.join(busy, ENTITY, "left_semi")
+    names = cut_lineage(crowd.select(*ENTITY))
+    if names.isEmpty():
+        return primary, None
+    return primary.join(names, ENTITY, "left_anti"), primary.join(names, ENTITY, "left_semi")
 
 
 def _crowded_targets(busy: DataFrame, policy: model.CorrelationPolicy) -> tuple[DataFrame, DataFrame]:
@@ -160,17 +166,19 @@ def unordered(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def candidate_pairs(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
-    """Distinct unordered candidate pairs (tenant_id, left_signal_id, right_signal_id)."""
+def _directed(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy, both_ways: bool) -> DataFrame:
     primary = primary_rows(profile, linkable, policy).drop(*_SETS)
     calm, busy = split_by_load(primary, policy.candidate_limit)
-    direct = _bucket_pairs(calm, calm, policy.window_us, False).select("tenant_id", "a_signal_id", "b_signal_id")
-    return unordered(direct.unionByName(busy_pairs(busy, policy)))
+    ends = ["tenant_id", "a_signal_id", "b_signal_id"]
+    pairs = _bucket_pairs(calm, calm, policy.window_us, both_ways).select(*ends)
+    return pairs if busy is None else pairs.unionByName(busy_pairs(busy, policy))
+
+
+def candidate_pairs(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
+    """Distinct unordered candidate pairs (tenant_id, left_signal_id, right_signal_id)."""
+    return unordered(_directed(profile, linkable, policy, False))
 
 
 def kept_candidates(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
     """Directed: per signal, the candidates it keeps (tenant_id, a_signal_id, b_signal_id), distinct."""
-    primary = primary_rows(profile, linkable, policy).drop(*_SETS)
-    calm, busy = split_by_load(primary, policy.candidate_limit)
-    direct = _bucket_pairs(calm, calm, policy.window_us, True).select("tenant_id", "a_signal_id", "b_signal_id")
-    return direct.unionByName(busy_pairs(busy, policy)).distinct()
+    return _directed(profile, linkable, policy, True).distinct()

@@ -49,4 +49,4 @@ def connected_components(edges: DataFrame, src: str = "left_signal_id", dst: str
             break
         state = after
     roots = stars.select(F.col("to").alias("signal_id"), F.col("to").alias("component")).distinct()
-    return stars.select(F.col("v").alias("signal_id"), F.col("to").alias("component")).unionByName(roots)
+    return cut_lineage(stars.select(F.col("v").alias("signal_id"), F.col("to").alias("component")).unionByName(roots))

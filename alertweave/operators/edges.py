@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertweave import model
 from alertweave.functions import columns as C
 from alertweave.operators import candidates as K
+from alertweave.session import cut_lineage
 
 _SETS = {"HASH": "hashes", "DEVICE": "devices", "USER": "users", "IP": "ips"}
 EDGE_COLUMNS = ["edge_id", "tenant_id", "left_signal_id", "right_signal_id", "score", "reasons", "rule_version"]
@@ -68,22 +69,22 @@ def scored_pairs(profile: DataFrame, linkable: DataFrame, policy: model.Correlat
     """All candidate pairs with score and reasons, each once; below the threshold dropped early."""
     primary = K.primary_rows(profile, linkable, policy)
     calm, busy = K.split_by_load(primary, policy.candidate_limit)
-    direct = K._bucket_pairs(calm, calm, policy.window_us, False)
-
     ends = ["signal_id", "first_us", "last_us", *_SETS.values(), "wide"]
-    facts = profile.select("tenant_id", *ends)
-    picked = K.unordered(K.busy_pairs(busy.drop(*_SETS.values(), "wide"), policy))
-    indirect = (
-        picked.withColumnsRenamed({"left_signal_id": "a_signal_id", "right_signal_id": "b_signal_id"})
-        .join(K._side(facts, "a", ["tenant_id"]), ["tenant_id", "a_signal_id"])
-        .join(K._side(facts, "b", ["tenant_id"]), ["tenant_id", "b_signal_id"])
-    )
     cols = ["tenant_id", *[f"{s}_{c}" for s in "ab" for c in ends]]
-    pairs = direct.select(*cols).unionByName(indirect.select(*cols))
+    pairs = K._bucket_pairs(calm, calm, policy.window_us, False).select(*cols)
+    if busy is not None:
+        facts = profile.select("tenant_id", *ends)
+        picked = K.unordered(K.busy_pairs(busy.drop(*_SETS.values(), "wide"), policy))
+        pairs = pairs.unionByName(
+            picked.withColumnsRenamed({"left_signal_id": "a_signal_id", "right_signal_id": "b_signal_id"})
+            .join(K._side(facts, "a", ["tenant_id"]), ["tenant_id", "a_signal_id"])
+            .join(K._side(facts, "b", ["tenant_id"]), ["tenant_id", "b_signal_id"])
+            .select(*cols)
+        )
     either_wide = F.col("a_wide") | F.col("b_wide")
-    scored = _score(pairs.where(~either_wide), _by_arrays(), policy).unionByName(
-        _wide_scores(pairs.where(either_wide), linkable, policy)
-    )
+    scored = _score(pairs.where(~either_wide), _by_arrays(), policy)
+    if not profile.where("wide").isEmpty():
+        scored = scored.unionByName(_wide_scores(pairs.where(either_wide), linkable, policy))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.dropDuplicates(["tenant_id", "left_signal_id", "right_signal_id"])
@@ -100,7 +101,7 @@ def with_edge_id(scored: DataFrame, policy: model.CorrelationPolicy) -> DataFram
 
 def build_edges(signals: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
     """Edges: candidate pairs that reach the threshold, once each, with a stable id."""
-    profile = K.profiles(signals, linkable)
+    profile = cut_lineage(K.profiles(signals, linkable))
     return with_edge_id(scored_pairs(profile, linkable, policy, policy.edge_threshold), policy)
 
 

@@ -105,23 +105,23 @@ def fold(tagged: DataFrame) -> DataFrame:
     )
 
 
-def build_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact"):
-    """(signals, links): signals of unique alerts, and which alert is in which signal."""
-    slotted = with_slot(with_rule(alerts, rules, lookup))
-    tagged = tag_signals(slot_sums(slotted))
-    where = tagged.select(*KEY, "slot", "signal_id")
-    links = slotted.join(where, [*KEY, "slot"]).select("tenant_id", "signal_id", F.col("id").alias("alert_id"))
-    return fold(tagged), links
-
+def attach_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact", keep=lambda df: df):
+    """(signals, alerts with signal_id) of unique alerts; `keep` may store the slot rows both need.
 
-def attach_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact"):
-    """(signals, alerts with signal_id): as build_signals, keeping all alert columns."""
+    Finding an alert's signal is an equi join on its slot, one row per (rule, key, slot).
+    """
     slotted = with_slot(with_rule(alerts, rules, lookup))
-    tagged = tag_signals(slot_sums(slotted))
+    tagged = keep(tag_signals(slot_sums(slotted)))
     where = tagged.select(*KEY, "slot", "signal_id")
     return fold(tagged), slotted.join(where, [*KEY, "slot"]).drop("slot", "gap_us", "ts_us")
 
 
+def build_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact"):
+    """(signals, links): signals of unique alerts, and which alert is in which signal."""
+    sigs, attached = attach_signals(alerts, rules, lookup)
+    return sigs, attached.select("tenant_id", "signal_id", F.col("id").alias("alert_id"))
+
+
 def signal_intervals(signals: DataFrame) -> DataFrame:
     """Existing signals in the form of interval rows, ready to be merged with new slots."""
     cols = [*KEY, "gap_us", "first_us", "last_us", "occurrence_count", "severity_rank", "anchor"]

@@ -31,20 +31,19 @@ class Correlation:
 
 
 def signal_stage(alerts: DataFrame, policy: model.CorrelationPolicy | None = None, rules: dict | None = None,
-                 lookup: str = "exact", context: DataFrame | None = None, history: DataFrame | None = None) -> SignalStage:
-    """Lazy: de-duplicate, fold into signals, gather entities. `unique` carries signal_id."""
+                 lookup: str = "exact", context: DataFrame | None = None, history: DataFrame | None = None,
+                 keep=lambda df: df) -> SignalStage:
+    """De-duplicate, fold into signals, gather entities. `unique` carries signal_id.
+
+    Lazy by default; `keep=cut_lineage` stores each table once for plans that read it often.
+    """
     configure(alerts.sparkSession)
     policy = policy or model.CorrelationPolicy()
     fresh = dedup.first_deliveries(alerts) if history is None else dedup.new_deliveries(alerts, history)
-    sigs, attached = signals.attach_signals(fresh, rules, lookup)
-    named = entities.signal_entities(attached)
-    return SignalStage(alerts, attached, sigs, named, entities.linkable_entities(named, policy, context))
-
-
-def keep(stage: SignalStage) -> SignalStage:
-    """The stage with its tables written once, for plans that read them several times."""
-    return SignalStage(stage.alerts, cut_lineage(stage.unique), cut_lineage(stage.signals),
-                       cut_lineage(stage.entities), cut_lineage(stage.linkable))
+    sigs, attached = signals.attach_signals(keep(fresh), rules, lookup, keep)
+    attached = keep(attached)
+    named = keep(entities.signal_entities(attached))
+    return SignalStage(alerts, attached, keep(sigs), named, entities.linkable_entities(named, policy, context))
 
 
 def correlate(alerts: DataFrame, policy: model.CorrelationPolicy | None = None, rules: dict | None = None,
@@ -52,7 +51,7 @@ def correlate(alerts: DataFrame, policy: model.CorrelationPolicy | None = None,
               old_members: DataFrame | None = None, component_limit: int = incidents.COMPONENT_LIMIT) -> Correlation:
     """One full run over a table of alerts (all tenants at once; nothing crosses a tenant)."""
     policy = policy or model.CorrelationPolicy()
-    stage = keep(signal_stage(alerts, policy, rules, lookup, context))
+    stage = signal_stage(alerts, policy, rules, lookup, context, keep=cut_lineage)
     links = cut_lineage(edges.build_edges(stage.signals, stage.linkable, policy))
     decisions = cut_lineage(
         incidents.decide(stage.signals, links, stage.linkable, policy, old_incidents, old_members, component_limit)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,7 +51,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/alertweave/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared checkpoint folder and read back.
+
+    A lost executor then costs no recomputation, and as the table is columnar the plans that
+    follow still prune columns, push filters down and know its size.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application cut its lineage with, once its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def no_rows(spark: SparkSession, schema) -> DataFrame:
+    """A table the optimiser knows to be empty."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
