@@ -79,7 +79,7 @@ def _normalised(spark, sf_dir, source) -> DataFrame:
     names = [f.name for f in model.ALERT_SCHEMA if f.name not in ("id", "timestamp", "ingested_at", "raw_event_id", "tenant_id")]
     return done.select(
         "raw_event_id", "tenant_id", "processing_status", "normalization_error",
-        C.to_us(F.col("alert.timestamp")).alias("timestamp_us"), *[F.col(f"alert.{n}").alias(f"a_{n}") for n in names],
+        I.text(C.to_us(F.col("alert.timestamp"))).alias("timestamp_us"), *[F.col(f"alert.{n}").alias(f"a_{n}") for n in names],
     )
 
 
@@ -115,7 +115,7 @@ def source_routing(spark, sf_dir):
 @query
 def timestamp_validation(spark, sf_dir):
     t = I.time_texts(spark, sf_dir)
-    return t.select("event_id", C.to_us(normalize.parse_time(F.col("written"))).alias("timestamp_us"),
+    return t.select("event_id", I.text(C.to_us(normalize.parse_time(F.col("written")))).alias("timestamp_us"),
                     normalize.time_problem(F.col("written")).alias("problem"))
 
 
@@ -168,7 +168,8 @@ def dedup_first(spark, sf_dir):
 @query
 def dedup_flags(spark, sf_dir):
     return dedup.mark_duplicates(alerts(spark, sf_dir)).select(
-        "id", "tenant_id", "dedup_fingerprint", "duplicate_of_alert_id", "dedup_fingerprint_version"
+        "id", "tenant_id", "dedup_fingerprint", I.text("duplicate_of_alert_id").alias("duplicate_of_alert_id"),
+        "dedup_fingerprint_version",
     )
 
 
@@ -512,7 +513,7 @@ def validate_assessments(spark, sf_dir):
     status = assessments.run_status(F.col("validation_status"), F.lit(False))
     return judged.select(
         "package_id", "validation_status", "validation_detail", status.alias("run_status"),
-        assessments.job_status(status).alias("job_status"), F.col("assessment.confidence").alias("confidence"),
+        assessments.job_status(status).alias("job_status"), I.text("assessment.confidence").alias("confidence"),
         F.col("assessment.estimated_impact").alias("estimated_impact"),
     )
 

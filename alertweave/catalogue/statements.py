@@ -30,7 +30,7 @@ def _normalised(error: str, when: str, **fields: str) -> str:
 with raw as (select *, {error} as err from events)
 select cast(event_id as varchar) as raw_event_id, 'tenant_' || (user_id % 4) as tenant_id,
   case when err is null then 'NORMALIZED' else 'NORMALIZATION_FAILED' end as processing_status, err as normalization_error,
-  case when err is null then epoch_us({when}) end as timestamp_us,
+  case when err is null then cast(epoch_us({when}) as varchar) end as timestamp_us,
   {cols}
 from raw"""
 
@@ -79,8 +79,8 @@ select event_id, case event_type when 'view' then 'FIREWALL' when 'click' then '
   when 'signup' then 'XDR' end as normalizer from events"""
 ORACLES["timestamp_validation"] = """
 select event_id,
-  case event_id % 8 when 0 then epoch_us(date_trunc('second', ts)) when 1 then epoch_us(date_trunc('second', ts)) - 7200000000
-    when 2 then epoch_us(date_trunc('second', ts)) + 19800000000 when 6 then epoch_us(date_trunc('second', ts)) end as timestamp_us,
+  cast(case event_id % 8 when 0 then epoch_us(date_trunc('second', ts)) when 1 then epoch_us(date_trunc('second', ts)) - 7200000000
+    when 2 then epoch_us(date_trunc('second', ts)) + 19800000000 when 6 then epoch_us(date_trunc('second', ts)) end as varchar) as timestamp_us,
   case event_id % 8 when 3 then 'Input should have timezone info' when 4 then 'Input should be a valid datetime or date'
     when 5 then 'Input should be a valid datetime or date' when 7 then 'Input should be a valid datetime' end as problem
 from events"""
@@ -118,7 +118,7 @@ order by ingested_at, id limit 5000"""
 # ---- de-duplication and signals -------------------------------------------------------------------
 ORACLES["dedup_first"] = "with " + O.FINGERPRINTED + " select id, tenant_id, fp as dedup_fingerprint from uniq"
 ORACLES["dedup_flags"] = "with " + O.FINGERPRINTED + """
-select id, tenant_id, fp as dedup_fingerprint, case when first_id <> id then first_id end as duplicate_of_alert_id,
+select id, tenant_id, fp as dedup_fingerprint, case when first_id <> id then cast(first_id as varchar) end as duplicate_of_alert_id,
   'exact-v1' as dedup_fingerprint_version from arrivals"""
 ORACLES["dedup_against_history"] = "with " + O.FINGERPRINTED + f""", late as (
   select id, tenant_id, fp, row_number() over (partition by tenant_id, fp order by ingested_at, id) as n from fingerprinted
@@ -283,10 +283,10 @@ select event_id // 6 as run_id, {_STAGES}[event_id % 6 + 1] as stage,
 from events"""
 ORACLES["pipeline_status"] = f"""
 with reached as (
-  select event_id // 6 as run_id, max(event_id % 6 + 1) as at from events where event_id % 6 <= (event_id // 6) % 6 group by all
+  select event_id // 6 as run_id, max(event_id % 6 + 1) as reached_no from events where event_id % 6 <= (event_id // 6) % 6 group by all
 ), stages as (select unnest([1, 2, 3, 4, 5, 6]) as no)
 select run_id, {_STAGES}[no] as stage,
-  case when at = 6 or no < at then 'completed' when no > at then 'pending' when run_id % 4 = 0 then 'failed' else 'running' end as status
+  case when reached_no = 6 or no < reached_no then 'completed' when no > reached_no then 'pending' when run_id % 4 = 0 then 'failed' else 'running' end as status
 from reached, stages"""
 
 # ---- investigations ---------------------------------------------------------------------------------------
@@ -335,10 +335,10 @@ mentions as (
   select incident_key, item_no, f.no as no, f.p as prefix, lower(f.v) as value from (
     select incident_key, item_no, unnest([{'no': 1, 'p': 'USER', 'v': u}, {'no': 2, 'p': 'HOST', 'v': d},
       {'no': 3, 'p': 'PRIVATE_IP', 'v': i}]) as f from named) where f.v is not null),
-firsts as (select incident_key, value, min([item_no, no]) as at, arg_min(prefix, [item_no, no]) as prefix from mentions group by all),
+firsts as (select incident_key, value, min([item_no, no]) as spot, arg_min(prefix, [item_no, no]) as prefix from mentions group by all),
 aliases as (
   select incident_key, value, prefix || '_' || """ + _namespace("incident_key") + """ || '_' ||
-    lpad(cast(row_number() over (partition by incident_key, prefix order by at) as varchar), 3, '0') as alias from firsts)"""
+    lpad(cast(row_number() over (partition by incident_key, prefix order by spot) as varchar), 3, '0') as alias from firsts)"""
 ORACLES["package_signals"] = _GROUPS + _CHOSEN + _ALIASED + """
 select n.tenant_id, n.incident_key, signal_ref, signal_id, a.alias as entity_user, b.alias as entity_device, c.alias as entity_ip,
   h as entity_hash
@@ -367,7 +367,7 @@ select event_id as package_id,
     when 9 then 'primary_hypothesis,recommended_disposition,recommended_priority' end as validation_detail,
   case when event_id % 10 < 2 then 'SUCCESS' when event_id % 10 = 8 then 'FAILED' else 'FAILED_VALIDATION' end as run_status,
   case when event_id % 10 < 2 then 'SUCCEEDED' else 'FAILED' end as job_status,
-  case when event_id % 10 < 2 then 70 end as confidence, case when event_id % 10 < 2 then 'HIGH' end as estimated_impact
+  case when event_id % 10 < 2 then '70' end as confidence, case when event_id % 10 < 2 then 'HIGH' end as estimated_impact
 from events"""
 
 # ---- privacy ------------------------------------------------------------------------------------------------
@@ -437,10 +437,10 @@ with messages as (
       {'no': 7, 'p': 'USER', 'v': e1}, {'no': 8, 'p': 'USER', 'v': e2}, {'no': 9, 'p': 'PRIVATE_IP', 'v': ip}]) as f from messages)
   where f.v is not null
 ), firsts as (
-  select package_id, value, min([item_no, no]) as at, arg_min(prefix, [item_no, no]) as prefix from mentions group by all
+  select package_id, value, min([item_no, no]) as spot, arg_min(prefix, [item_no, no]) as prefix from mentions group by all
 ), aliases as (
   select package_id, value, prefix || '_' || """ + _namespace("package_id") + """ || '_' ||
-    lpad(cast(row_number() over (partition by package_id, prefix order by at) as varchar), 3, '0') as alias from firsts
+    lpad(cast(row_number() over (partition by package_id, prefix order by spot) as varchar), 3, '0') as alias from firsts
 ), safe as (
   select m.*, au.alias as user_alias, ah.alias as host_alias, sa.alias as src_alias, da.alias as dst_alias,
     case when turn % 2 = 0 then case when unsafe then '<WITHHELD_UNSAFE_TEXT>' else
@@ -479,11 +479,11 @@ mentions as (
   select package_id, item_no, f.no as no, f.p as prefix, lower(f.v) as value from (
     select package_id, item_no, unnest([{'no': 1, 'p': 'USER', 'v': u}, {'no': 2, 'p': 'HOST', 'v': h},
       {'no': 3, 'p': 'PRIVATE_IP', 'v': s}, {'no': 4, 'p': 'PRIVATE_IP', 'v': d}]) as f from packed) where f.v is not null),
-firsts as (select package_id, value, min([item_no, no]) as at, arg_min(prefix, [item_no, no]) as prefix from mentions group by all),
+firsts as (select package_id, value, min([item_no, no]) as spot, arg_min(prefix, [item_no, no]) as prefix from mentions group by all),
 aliases as (
   select package_id, value, prefix || '_' || """ + _namespace("package_id") + """ || '_' || case when n < 1000 then
     lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as alias
-  from (select *, row_number() over (partition by package_id, prefix order by at) as n from firsts))
+  from (select *, row_number() over (partition by package_id, prefix order by spot) as n from firsts))
 select p.package_id, 'EVIDENCE_' || case when item_no < 1000 then lpad(cast(item_no as varchar), 3, '0') else cast(item_no as varchar) end
     as evidence_ref, a.alias as "user", b.alias as host, c.alias as src_ip, e.alias as dst_ip
 from packed p left join aliases a on a.package_id = p.package_id and a.value = lower(u)

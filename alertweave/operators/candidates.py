@@ -84,9 +84,10 @@ def split_by_load(primary: DataFrame, limit: int) -> tuple[DataFrame, DataFrame
     Counting entities is one small job; where none is busy, busy is None and its plan left out.
     """
     crowd = primary.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit + 1)
-    names = cut_lineage(crowd.select(*ENTITY))
+    names = crowd.select(*ENTITY)
     if names.isEmpty():
         return primary, None
+    names = cut_lineage(names)
     return primary.join(names, ENTITY, "left_anti"), primary.join(names, ENTITY, "left_semi")
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from alertweave.session import cut_lineage
 
 
-def _digest(stars: DataFrame) -> tuple:
-    row = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "to").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
+def _stored(stars: DataFrame) -> tuple[DataFrame, dict]:
+    """The star table written once, with its row count and content hash taken on the way."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("v", "to").cast("decimal(38,0)")).alias("digest")
+    stored = cut_lineage(stars.observe(seen, F.count(F.lit(1)).alias("rows"), digest))
+    return stored, seen.get
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -40,12 +43,10 @@ def connected_components(edges: DataFrame, src: str = "left_signal_id", dst: str
         .select(F.greatest(src, dst).alias("v"), F.least(src, dst).alias("to"))
         .distinct()
     )
-    stars = cut_lineage(stars)
-    state = _digest(stars)
+    state = None
     while True:
-        stars = cut_lineage(_small_star(_large_star(stars)))
-        after = _digest(stars)
-        if after == state:
+        stars, after = _stored(_small_star(_large_star(stars)))
+        if after == state or after["rows"] == 0:
             break
         state = after
     roots = stars.select(F.col("to").alias("signal_id"), F.col("to").alias("component")).distinct()
