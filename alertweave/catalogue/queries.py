@@ -115,8 +115,9 @@ def source_routing(spark, sf_dir):
 @query
 def timestamp_validation(spark, sf_dir):
     t = I.time_texts(spark, sf_dir)
-    return t.select("event_id", I.text(C.to_us(normalize.parse_time(F.col("written")))).alias("timestamp_us"),
-                    normalize.time_problem(F.col("written")).alias("problem"))
+    parsed = normalize.parse_time(F.col("written"))
+    return t.select("event_id", I.text(C.to_us(parsed)).alias("timestamp_us"),
+                    normalize.time_problem(F.col("written"), parsed).alias("problem"))
 
 
 @query

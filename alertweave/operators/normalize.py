@@ -77,17 +77,26 @@ def parse_time(text: Column) -> Column:
     )
 
 
-def time_problem(text: Column) -> Column:
-    """Why a time is refused, or null."""
+def time_problem(text: Column, parsed: Column) -> Column:
+    """Why a time is refused, or null; `parsed` is what parse_time made of it."""
     return (
         F.when(text.isNull(), NOT_A_TIME)
-        .when(parse_time(text).isNotNull(), F.lit(None))
+        .when(parsed.isNotNull(), F.lit(None))
         .when(text.rlike(NAIVE_TIME) & F.try_to_timestamp(F.regexp_replace(text, "[Tt_]", " ")).isNotNull(),
               NO_OFFSET)
         .otherwise(UNPARSABLE_TIME)
     )
 
 
+def _worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    The optimiser copies a projected expression into every later use of it; a generator it
+    leaves alone, so these are worked out once per row and the plan stays small.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _literal(value: str | None) -> Column:
     return F.lit(value).cast("string")
 
@@ -251,30 +260,26 @@ def normalize(envelopes: DataFrame, normalizers: dict[str, Normalizer] | None =
 
     names = ["source_event_id", "time_text", "source_type", "category_name", "class_name", "alert_type",
              "severity", *_OBSERVABLES, "file_hash_algorithm", "fault"]
-    mapped = parsed.withColumn(
-        "_m",
-        F.struct(
-            *[pick(n).cast("string").alias(n) for n in names],
-            pick("not_text").cast("array<string>").alias("not_text"),
-            F.when(F.col("_route") == "CANONICAL", pick("source_vendor").cast("string"))
-            .otherwise(F.col("source_vendor")).alias("source_vendor"),
-            F.when(F.col("_route") == "CANONICAL", pick("source_product").cast("string"))
-            .otherwise(F.col("source_product")).alias("source_product"),
-        ),
+    canonical = F.col("_route") == "CANONICAL"
+    mapped = _worked_out(
+        parsed,
+        **{f"_m_{n}": pick(n).cast("string") for n in names},
+        _m_not_text=pick("not_text").cast("array<string>"),
+        **{f"_m_{n}": F.when(canonical, pick(n).cast("string")).otherwise(F.col(n)) for n in ("source_vendor", "source_product")},
     )
-    m = F.col("_m")
-    problem = time_problem(m["time_text"])
-    complaints = F.concat(
-        F.transform(
-            F.filter(m["not_text"], lambda n: n == "source_event_id"),
-            lambda n: F.concat(F.lit("field='"), n, F.lit(f"' reason='{NOT_A_STRING}'")),
-        ),
-        F.when(problem.isNotNull(), F.array(F.concat(F.lit("field='timestamp' reason='"), problem, F.lit("'"))))
-        .otherwise(F.array().cast("array<string>")),
-        F.transform(
-            F.filter(m["not_text"], lambda n: n != "source_event_id"),
-            lambda n: F.concat(F.lit("field='"), n, F.lit(f"' reason='{NOT_A_STRING}'")),
-        ),
+    time_text = F.col("_m_time_text")
+    timed = _worked_out(mapped, _time=parse_time(time_text))
+    problem = time_problem(time_text, F.col("_time"))
+
+    def complaint(field: Column, reason: Column) -> Column:
+        return F.concat(F.lit("field='"), field, F.lit("' reason='"), reason, F.lit("'"))
+
+    def wrong_kind(first: bool) -> Column:
+        wanted = F.filter("_m_not_text", lambda n: (n == "source_event_id") == F.lit(first))
+        return F.transform(wanted, lambda n: complaint(n, F.lit(NOT_A_STRING)))
+
+    complaints = F.array_join(
+        F.concat(wrong_kind(True), F.array_compact(F.array(complaint(F.lit("timestamp"), problem))), wrong_kind(False)), " | "
     )
 
     def unclassified(reason: Column) -> Column:
@@ -283,32 +288,31 @@ def normalize(envelopes: DataFrame, normalizers: dict[str, Normalizer] | None =
             reason, F.lit("'"),
         )
 
+    judged = _worked_out(timed, _complaints=C.none_if_empty(complaints))
     error = (
         F.when(F.col("_v").isNull(), unclassified(F.lit("payload is not JSON")))
-        .when(F.schema_of_variant("_v").rlike("^OBJECT") == F.lit(False),
-              unclassified(F.lit("payload is not an object")))
+        .when(~F.schema_of_variant("_v").rlike("^OBJECT"), unclassified(F.lit("payload is not an object")))
         .when(F.col("_route").isNull(),
               unclassified(F.concat(F.lit("No normalizer found for source_type: "),
                                     F.coalesce(F.col("source_type"), F.lit("None")))))
-        .when(m["fault"].isNotNull(), unclassified(m["fault"]))
-        .when(F.size(complaints) > 0, F.array_join(complaints, " | "))
+        .when(F.col("_m_fault").isNotNull(), unclassified(F.col("_m_fault")))
+        .otherwise(F.col("_complaints"))
     )
-    fields = {f.name: m[f.name] for f in model.ALERT_SCHEMA if f.name in set(names) | {"source_vendor", "source_product"}}
-    fields |= {
+    done = _worked_out(judged, normalization_error=error)
+    fields = {n: F.col(f"_m_{n}") for n in [*names, "source_vendor", "source_product"]} | {
         "id": C.uuid_of(C.joined(F.lit("alert"), raw_id)),
         "raw_event_id": raw_id,
         "tenant_id": F.col("tenant_id"),
-        "timestamp": parse_time(m["time_text"]),
+        "timestamp": F.col("_time"),
         "ingested_at": received,
         "schema_version": F.lit(model.SCHEMA_VERSION),
     }
     alert = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in model.ALERT_SCHEMA])
-    return (
-        mapped.withColumn("normalization_error", error)
-        .withColumn("processing_status",
-                    F.when(F.col("normalization_error").isNull(), "NORMALIZED").otherwise("NORMALIZATION_FAILED"))
-        .withColumn("alert", F.when(F.col("normalization_error").isNull(), alert))
-        .drop("_v", "_m", "_route")
+    passed = F.col("normalization_error").isNull()
+    return done.select(
+        *envelopes.columns, "normalization_error",
+        F.when(passed, "NORMALIZED").otherwise("NORMALIZATION_FAILED").alias("processing_status"),
+        F.when(passed, alert).alias("alert"),
     )
 
 
