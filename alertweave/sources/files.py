@@ -150,6 +150,23 @@ def _split_header(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
+def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files without a byte, which Spark's file scan passes over."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for text in paths:
+        pattern = jvm.org.apache.hadoop.fs.Path(text)
+        fs = pattern.getFileSystem(conf)
+        for status in fs.globStatus(pattern) or []:
+            below = fs.listFiles(status.getPath(), True)
+            while below.hasNext():
+                file = below.next()
+                if file.getLen() == 0:
+                    found.append(file.getPath().toString())
+    return found
+
+
 Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -162,7 +179,12 @@ def load_alerts(spark: SparkSession, path: str | list[str], fmt: str | None = No
 
     files: path, filename, length, format, error_message. records: path, record_no, payload.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+    nothing = spark.createDataFrame(
+        [(p, 0, bytearray()) for p in _empty_files(spark, [path] if isinstance(path, str) else path)],
+        "path string, length bigint, content binary",
+    )
+    raw = raw.unionByName(nothing)
     name = F.element_at(F.split("path", "/"), -1)
     small = F.col("length") <= model.IMPORT_MAX_BYTES
     preview = F.when(small, F.substring("content", 1, PREVIEW_BYTES).cast("string"))

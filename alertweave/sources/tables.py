@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertweave import model
 from alertweave.functions import columns as C
@@ -27,22 +28,23 @@ def raw_rows(envelopes: DataFrame) -> DataFrame:
     )
 
 
+def _stored(rows: DataFrame, path: str, *partitions: str) -> DataFrame:
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def store_raw(envelopes: DataFrame, root: str, run: str) -> DataFrame:
     """Write raw evidence before anything else, one folder per run so a retry overwrites itself."""
     path = f"{root}/{RAW}/run={run}"
-    raw_rows(envelopes).write.mode("overwrite").partitionBy("tenant_id", "received_date").parquet(path)
-    return envelopes.sparkSession.read.parquet(path)
+    return _stored(raw_rows(envelopes), path, "tenant_id", "received_date")
 
 
 def store_normalized(raw: DataFrame, root: str, run: str) -> tuple[DataFrame, DataFrame]:
     """Normalise stored raw events; write alerts and quarantine. Returns both as stored."""
-    spark = raw.sparkSession
     done = normalize(raw.drop("processing_status", "received_date"))
     alerts = alerts_of(done).withColumn("alert_date", F.to_date("timestamp"))
     good, bad = f"{root}/{ALERTS}/run={run}", f"{root}/{QUARANTINE}/run={run}"
-    alerts.write.mode("overwrite").partitionBy("tenant_id", "alert_date").parquet(good)
-    quarantine_of(done).write.mode("overwrite").partitionBy("tenant_id").parquet(bad)
-    return spark.read.parquet(good), spark.read.parquet(bad)
+    return _stored(alerts, good, "tenant_id", "alert_date"), _stored(quarantine_of(done), bad, "tenant_id")
 
 
 def raw_status(raw: DataFrame, alerts: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def raw_status(raw: DataFrame, alerts: DataFrame, quarantine: DataFrame) -> Data
 
 def read_alerts(spark: SparkSession, root: str, tenant: str | None = None) -> DataFrame:
     """Stored alerts, of one tenant if given (partition pruning), without raw payloads."""
-    alerts = spark.read.parquet(f"{root}/{ALERTS}")
+    schema = T.StructType([*model.ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
+    alerts = spark.read.schema(schema).parquet(f"{root}/{ALERTS}")
     alerts = alerts.where(F.col("tenant_id") == tenant) if tenant else alerts
     return alerts.select(*[f.name for f in model.ALERT_SCHEMA])
 
