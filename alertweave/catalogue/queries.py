@@ -465,7 +465,7 @@ def job_reuse(spark, sf_dir):
 @query
 def evidence_top50(spark, sf_dir):
     rows = _stage(spark, sf_dir, 60).signals.withColumn("incident_key", F.col("tenant_id"))
-    return packages.rank_evidence(rows).select("tenant_id", "item_no", "signal_id", "severity", "occurrence_count")
+    return packages.rank_evidence(rows).select("tenant_id", F.col("item_no").cast("bigint").alias("item_no"), "signal_id", "severity", "occurrence_count")
 
 
 def _packages(spark, sf_dir) -> packages.Packages:

@@ -291,7 +291,8 @@ def normalize(envelopes: DataFrame, normalizers: dict[str, Normalizer] | None =
     judged = _worked_out(timed, _complaints=C.none_if_empty(complaints))
     error = (
         F.when(F.col("_v").isNull(), unclassified(F.lit("payload is not JSON")))
-        .when(~F.schema_of_variant("_v").rlike("^OBJECT"), unclassified(F.lit("payload is not an object")))
+        .when(~F.ltrim("payload").startswith("{") & ~F.col("payload").rlike(r"^\s*\{"),
+              unclassified(F.lit("payload is not an object")))
         .when(F.col("_route").isNull(),
               unclassified(F.concat(F.lit("No normalizer found for source_type: "),
                                     F.coalesce(F.col("source_type"), F.lit("None")))))

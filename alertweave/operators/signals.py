@@ -105,29 +105,13 @@ def fold(tagged: DataFrame) -> DataFrame:
     )
 
 
-def signals_of(attached: DataFrame) -> DataFrame:
-    """Signals summed up from stored alerts that carry their signal_id."""
-    return (
-        attached.groupBy(*KEY, "gap_us", "signal_id")
-        .agg(
-            F.min("ts_us").alias("first_us"),
-            F.max("ts_us").alias("last_us"),
-            F.count(F.lit(1)).alias("occurrence_count"),
-            F.max(C.severity_rank(F.col("severity"))).alias("severity_rank"),
-            F.min(F.struct(F.col("ts_us"), F.col("id"))).alias("anchor"),
-        )
-        .withColumn("severity", C.severity_name(F.col("severity_rank")))
-        .withColumn("anchor_alert_id", F.col("anchor.id"))
-    )
-
-
-def attach_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact"):
-    """(signals, alerts with signal_id) of unique alerts.
+def attach_signals(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact", keep=lambda df: df):
+    """(signals, alerts with signal_id) of unique alerts; `keep` may store the few slot rows.
 
     Finding an alert's signal is an equi join on its slot, one row per (rule, key, slot).
     """
     slotted = with_slot(with_rule(alerts, rules, lookup))
-    tagged = tag_signals(slot_sums(slotted))
+    tagged = keep(tag_signals(slot_sums(slotted)))
     where = tagged.select(*KEY, "slot", "signal_id")
     return fold(tagged), slotted.join(where, [*KEY, "slot"]).drop("slot")
 

@@ -40,12 +40,10 @@ def signal_stage(alerts: DataFrame, policy: model.CorrelationPolicy | None = Non
     configure(alerts.sparkSession)
     policy = policy or model.CorrelationPolicy()
     fresh = dedup.first_deliveries(alerts) if history is None else dedup.new_deliveries(alerts, history)
-    sigs, attached = signals.attach_signals(fresh, rules, lookup)
-    stored = keep(attached)
-    if stored is not attached:
-        sigs = keep(signals.signals_of(stored))
-    named = keep(entities.signal_entities(stored))
-    return SignalStage(alerts, stored, sigs, named, entities.linkable_entities(named, policy, context))
+    # Alerts are stored once, the slot table is small; alerts with their signal_id stay a join of both.
+    sigs, attached = signals.attach_signals(keep(fresh), rules, lookup, keep)
+    named = keep(entities.signal_entities(attached))
+    return SignalStage(alerts, attached, keep(sigs), named, entities.linkable_entities(named, policy, context))
 
 
 def correlate(alerts: DataFrame, policy: model.CorrelationPolicy | None = None, rules: dict | None = None,
