@@ -51,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_announced: set[str] = set()
+
+
 def _scratch_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/alertweave/{spark.sparkContext.applicationId}"
 
@@ -59,10 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back.
 
     A lost executor then costs no recomputation, and as the table is columnar the plans that
-    follow still prune columns, push filters down and know its size.
+    follow still prune columns, push filters down and know its size. The tables go when the
+    driver ends.
     """
     spark = df.sparkSession
-    path = f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    root = _scratch_root(spark)
+    if root not in _announced:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        _announced.add(root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -113,13 +113,14 @@ class CorrelationStream:
     def _fold(self, fresh: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(changed signals, moved, slot -> signal): the batch folded into the signals of its keys.
 
-        moved is (signal_id, into_id) for signals that were merged away.
+        moved has key, signal_id and into_id of signals that were merged away.
         """
         slots = signals.slot_sums(fresh).withColumn("_old_id", F.lit(None).cast("string"))
-        past = self.signals(batch)
+        stored = self.store.read("signals", batch)
         rows = slots
-        if past is not None:
-            touched = past.join(fresh.select(*signals.KEY).distinct(), signals.KEY, "left_semi")
+        if stored is not None:
+            # Only the rows of touched keys are looked at; those of signals gone carry their key too.
+            touched = current_signals(stored.join(fresh.select(*signals.KEY).distinct(), signals.KEY, "left_semi"))
             old = touched.select("signal_id", *signals.KEY, "gap_us", "first_us", "last_us", "occurrence_count",
                                  "severity_rank", "anchor", F.lit(None).cast("bigint").alias("slot"))
             rows = slots.unionByName(old.withColumnRenamed("signal_id", "_old_id"))
@@ -134,7 +135,7 @@ class CorrelationStream:
         )
         changed = signals.fold(tagged).select(*SIGNAL_COLUMNS)
         moved = tagged.where("_old_id is not null and _old_id <> signal_id").select(
-            "tenant_id", F.col("_old_id").alias("signal_id"), F.col("signal_id").alias("into_id")
+            *signals.KEY, F.col("_old_id").alias("signal_id"), F.col("signal_id").alias("into_id")
         )
         return changed, moved, tagged.where("slot is not null").select(*signals.KEY, "slot", "signal_id")
 
@@ -142,7 +143,8 @@ class CorrelationStream:
         """Write rows of this batch, and again, under the new id, the rows of merged signals."""
         past = self.store.read(name, batch)
         if past is not None:
-            again = past.drop("batch").join(moved, ["tenant_id", "signal_id"]).withColumn("signal_id", F.col("into_id"))
+            into = moved.select("tenant_id", "signal_id", "into_id")
+            again = past.drop("batch").join(into, ["tenant_id", "signal_id"]).withColumn("signal_id", F.col("into_id"))
             new = new.unionByName(again.drop("into_id")).distinct()
         return self.store.write(name, new, batch)
 
@@ -152,8 +154,9 @@ class CorrelationStream:
         if fresh.isEmpty():
             return
         changed, moved, where = self._fold(fresh, batch)
-        gone = moved.select("tenant_id", "signal_id").distinct()
-        blank = {c: F.lit(None).cast(changed.schema[c].dataType) for c in SIGNAL_COLUMNS if c not in ("tenant_id", "signal_id")}
+        gone = moved.select(*signals.KEY, "signal_id").distinct()
+        kept = {*signals.KEY, "signal_id"}
+        blank = {c: F.lit(None).cast(changed.schema[c].dataType) for c in SIGNAL_COLUMNS if c not in kept}
         rows = changed.withColumn("gone", F.lit(False)).unionByName(
             gone.withColumns(blank).withColumn("gone", F.lit(True)).select(*SIGNAL_COLUMNS, "gone")
         )
@@ -162,18 +165,30 @@ class CorrelationStream:
         attached = fresh.join(where, [*signals.KEY, "slot"])
         self._carry("links", attached.select("tenant_id", "signal_id", F.col("id").cast("string").alias("alert_id")), moved, batch)
         self._carry("entities", entities.signal_entities(attached), moved, batch)
-        self._correlate(changed.select("tenant_id", "signal_id"), batch)
+        self._correlate(cut_lineage(changed.select("tenant_id", "signal_id", "first_us", "last_us")), batch)
 
     def _surroundings(self, acting: DataFrame, batch: int) -> DataFrame:
-        """Current signals close enough in time to the changed ones to matter."""
-        now = self.signals(batch + 1)
-        span = now.join(acting, ["tenant_id", "signal_id"], "left_semi").groupBy("tenant_id").agg(
-            (F.min("first_us") - self.policy.window_us).alias("_lo"), (F.max("last_us") + self.policy.window_us).alias("_hi")
+        """Current signals close enough in time to the changed ones to matter.
+
+        A signal's span only grows, so rows out of reach can go before the latest is picked.
+        """
+        window = self.policy.window_us
+        span = acting.groupBy("tenant_id").agg(
+            (F.min("first_us") - window).alias("_lo"), (F.max("last_us") + window).alias("_hi")
         )
-        return cut_lineage(now.join(span, "tenant_id").where("last_us >= _lo and first_us <= _hi").drop("_lo", "_hi"))
+        rows = self.store.read("signals", batch + 1).join(span, "tenant_id").where("gone or (last_us >= _lo and first_us <= _hi)")
+        return cut_lineage(current_signals(rows.drop("_lo", "_hi")))
+
+    def _past_incidents(self, near: DataFrame, batch: int) -> tuple[DataFrame | None, DataFrame | None]:
+        """(incidents, members) of earlier batches that hold any of the given signals."""
+        rows, members = self.store.read("incidents", batch), self.store.read("members", batch)
+        if rows is None or members is None:
+            return None, None
+        members = cut_lineage(members.drop("batch").join(near.select("signal_id"), "signal_id", "left_semi").distinct())
+        key = ["tenant_id", "incident_key"]
+        return last_rows(rows.join(members.select(*key).distinct(), key, "left_semi"), *key), members
 
     def _correlate(self, acting: DataFrame, batch: int) -> None:
-        acting = cut_lineage(acting)
         near = self._surroundings(acting, batch)
         named = self._alive("entities", batch + 1, near)
         linkable = cut_lineage(entities.linkable_entities(named, self.policy, self.context))
@@ -185,11 +200,7 @@ class CorrelationStream:
         new = ours if stored is None else edges.insert_if_absent(ours, stored, ["edge_id"])
         self.store.write("edges", new.select(*edges.EDGE_COLUMNS), batch)
 
-        old, old_members = self.incidents(batch), self.members(batch)
-        if old is None or old_members is None:
-            old, old_members = None, None
-        else:
-            old_members = old_members.join(near.select("signal_id"), "signal_id", "left_semi")
+        old, old_members = self._past_incidents(near, batch)
         decisions = cut_lineage(
             incidents.decide(near, ours, linkable, self.policy, old, old_members, acting=ids)
         )
