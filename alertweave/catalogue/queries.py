@@ -267,6 +267,13 @@ def candidates_topk(spark, sf_dir):
     )
 
 
+@query
+def candidate_set_sizes(spark, sf_dir):
+    stage = _stage(spark, sf_dir, DAY, keep=True)
+    policy = model.CorrelationPolicy(candidate_limit=20, window_seconds=86400)
+    return candidates.candidate_stats(_profile(stage), stage.linkable, policy)
+
+
 @query
 def edges_scored(spark, sf_dir):
     _, links = _linked(spark, sf_dir)

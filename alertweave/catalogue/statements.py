@@ -164,6 +164,9 @@ select tenant_id, signal_id, string_agg(anchor, ',' order by anchor) as anchors
 ORACLES["candidate_pairs"] = _ENT + "," + O.pairs() + " select * from pairs"
 ORACLES["candidates_topk"] = _ENT + "," + O.pairs(2).replace("interval 2 hour", "interval 24 hour") + """
 select distinct tenant_id, a_id as signal_id, b_id as candidate_id from directed where n <= 2"""
+ORACLES["candidate_set_sizes"] = _ENT + "," + O.pairs(20).replace("interval 2 hour", "interval 24 hour") + """
+select tenant_id, max(size) as max_candidate_set_size, max(top) >= 20 as candidate_set_truncated from (
+  select tenant_id, a_id, count(distinct b_id) as size, max(n) as top from directed where n <= 20 group by all) group by tenant_id"""
 ORACLES["edges_scored"] = O.through_edges(DAY) + """
 select edge_id, tenant_id, left_signal_id, right_signal_id, score, 'corr-v2' as rule_version from edges"""
 ORACLES["edge_reasons"] = O.through_edges(60) + " select edge_id, score, reasons from edges"

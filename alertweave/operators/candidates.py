@@ -106,7 +106,7 @@ def _crowded_targets(busy: DataFrame, policy: model.CorrelationPolicy) -> tuple[
 
 
 def recent_in_tree(dense: DataFrame, busy: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
-    """(tenant_id, a_signal_id, b_signal_id): the most recent partners of signals in crowded buckets."""
+    """(entity, a_signal_id, b_signal_id): the most recent partners of signals in crowded buckets."""
     limit, window_us = policy.candidate_limit, policy.window_us
     span = (
         dense.groupBy(*ENTITY)
@@ -147,7 +147,7 @@ def recent_in_tree(dense: DataFrame, busy: DataFrame, policy: model.CorrelationP
     return (
         found.withColumn("_n", F.row_number().over(w))
         .where(F.col("_n") <= limit)
-        .select("tenant_id", "a_signal_id", "b_signal_id")
+        .select(*ENTITY, "a_signal_id", "b_signal_id")
     )
 
 
@@ -156,7 +156,7 @@ def busy_pairs(busy: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
     sparse, dense = _crowded_targets(busy, policy)
     plain = [*ENTITY, "signal_id", *_TIME]
     quiet = _bucket_pairs(sparse.select(*plain), busy.select(*plain), policy.window_us, True)
-    return quiet.select("tenant_id", "a_signal_id", "b_signal_id").unionByName(recent_in_tree(dense, busy, policy))
+    return quiet.select(*ENTITY, "a_signal_id", "b_signal_id").unionByName(recent_in_tree(dense, busy, policy))
 
 
 def unordered(pairs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def unordered(pairs: DataFrame) -> DataFrame:
 def _directed(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy, both_ways: bool) -> DataFrame:
     primary = primary_rows(profile, linkable, policy).drop(*_SETS)
     calm, busy = split_by_load(primary, policy.candidate_limit)
-    ends = ["tenant_id", "a_signal_id", "b_signal_id"]
+    ends = [*ENTITY, "a_signal_id", "b_signal_id"]
     pairs = _bucket_pairs(calm, calm, policy.window_us, both_ways).select(*ends)
     return pairs if busy is None else pairs.unionByName(busy_pairs(busy, policy))
 
@@ -182,4 +182,18 @@ def candidate_pairs(profile: DataFrame, linkable: DataFrame, policy: model.Corre
 
 def kept_candidates(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
     """Directed: per signal, the candidates it keeps (tenant_id, a_signal_id, b_signal_id), distinct."""
-    return _directed(profile, linkable, policy, True).distinct()
+    return _directed(profile, linkable, policy, True).select("tenant_id", "a_signal_id", "b_signal_id").distinct()
+
+
+def candidate_stats(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
+    """Per tenant: the largest candidate set of a signal, and whether any entity reached the limit."""
+    rows = cut_lineage(_directed(profile, linkable, policy, True))
+    per_entity = rows.groupBy(*ENTITY, "a_signal_id").agg(F.count(F.lit(1)).alias("_n"))
+    per_signal = rows.select("tenant_id", "a_signal_id", "b_signal_id").distinct().groupBy("tenant_id", "a_signal_id").count()
+    return (
+        per_signal.groupBy("tenant_id").agg(F.max("count").alias("max_candidate_set_size"))
+        .join(
+            per_entity.groupBy("tenant_id").agg((F.max("_n") >= policy.candidate_limit).alias("candidate_set_truncated")),
+            "tenant_id",
+        )
+    )
