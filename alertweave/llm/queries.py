@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import decontaminate, language, packing, simhash, suffixes
+from alertweave.llm import ann, decontaminate, html, language, packing, quality, simhash, suffixes, urls, warc
 from alertweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,16 +20,42 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_warc_bundles(spark, sf_dir):
+    bundles = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(bundles).drop("url")
+
+
 @query
 def op2_suffix_dedup(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_prefix_forest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_simhash_vantage(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_kneser_ney_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_main_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_language_id(spark, sf_dir):
     judged, _ = language.predict_documents(table(spark, sf_dir, "documents"))
