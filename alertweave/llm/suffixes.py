@@ -1,16 +1,17 @@
 """Repeated passages by distributed prefix doubling over sampled positions.
 
 A suffix array ranks all positions by what follows, doubling the length its ranks stand for in each round: the rank of 2h
-bytes is that of the pair (rank of h bytes here, rank of h bytes at offset h). Here the rounds rank 16 bytes, then 16 bytes
-with all that a 50-byte window around them can hold, then 25 + 25 bytes. Spark sorts the (rank, rank) pairs; positions
-whose rank is unique leave, and the last round holds only those that the earlier ones left open.
+bytes is that of the pair (rank of h bytes here, rank of h bytes at offset h). Here the ranks stand for 16, 16 + 17 and
+25 + 25 bytes; Spark sorts the pairs, and positions whose rank is unique leave, so the last round holds only those that the
+earlier ones left open.
 
-The first two rounds need few positions. Of the 35 strings of 16 bytes in a window of 50 the one with the least hash is an
+The first rounds need few positions. Of the 35 strings of 16 bytes in a window of 50 the one with the least hash is an
 anchor; equal windows have equal anchors at the same place. So a window is repeated only if its anchor is, and if two
-anchors agree in the 34 bytes before and the 50 after them, so do all windows that hold them there.
+anchors agree in the 34 bytes before and the 50 after them, so do all windows that hold them there. Of those left, a window
+that starts at most 17 bytes before its anchor holds the anchor and the 17 bytes after it, and one that starts earlier
+holds the 17 bytes before it.
 
-Ranks are names, not ordinals: 64-bit hashes, equal for equal strings. A window counts as repeated only if two
-independent names agree.
+Ranks are names, not ordinals: hashes, equal for equal strings. Windows count as repeated if 84 bits of their names agree.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,39 +95,45 @@ def _first_owners(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 #: covered: this batch has the same under a smaller doc, so the row need not be compared any more; its a is spread.
-ROWS = "a long, b long, doc long, loc long, covered boolean"
+ANCHORS = "a long, b long, doc long, loc long, covered boolean"
+WINDOWS = "a long, doc long, loc long, covered boolean"
 #: Texts are named and compared in batches of about so many bytes.
 BATCH = 8 << 20
+#: loc has the place in its lower 32 bits, then 12 bits of the text's checksum, so that repeated ids with different texts stay
+#: apart, then 20 bits of a window's second name.
+TAG = 0xFFF
 
 
-def _emit(parts: list[tuple]) -> pa.RecordBatch:
-    a, b, doc, loc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    covered = _first_owners(a, b, doc)
-    a = np.where(covered, _mix(doc.view(np.uint64)), a)
-    arrays = [pa.array(x.view(np.int64)) for x in (a, b, doc, loc)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(covered)], ["a", "b", "doc", "loc", "covered"])
+def _emit(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    *first, doc, loc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    second = first[1] if len(first) > 1 else loc.view(np.uint64) >> _U(44)
+    covered = _first_owners(first[0], second, doc)
+    first[0] = np.where(covered, _mix(doc.view(np.uint64)), first[0])
+    arrays = [pa.array(x.view(np.int64)) for x in (*first, doc, loc)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(covered)], names)
 
 
-def _gathered(rows: Iterator[tuple[int, tuple]]) -> Iterator[pa.RecordBatch]:
+def _gathered(rows: Iterator[tuple[int, tuple]], schema: str) -> Iterator[pa.RecordBatch]:
+    names = [part.split()[0] for part in schema.split(",")]
     held, parts = 0, []
     for size, part in rows:
         if len(part[0]):
             parts.append(part)
         held += size
         if held >= BATCH and parts:
-            yield _emit(parts)
+            yield _emit(parts, names)
             held, parts = 0, []
     if parts:
-        yield _emit(parts)
+        yield _emit(parts, names)
 
 
 def _located(raw: bytes, place: np.ndarray) -> np.ndarray:
-    """Place and text in one number: repeated ids with different texts stay apart."""
-    return (np.int64(zlib.crc32(raw)) << np.int64(32)) | place
+    return np.int64((zlib.crc32(raw) & TAG) << 32) | place
 
 
 def _name_anchors(length: int, gram: int):
     before, after = length - gram, length
+    half = before // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -140,37 +147,46 @@ def _name_anchors(length: int, gram: int):
                     place = anchors(names, sums, length, gram)
                     left, right = np.maximum(place - before, 0), np.minimum(place + after, n)
                     a = names.of(sums, place, place + gram)
+                    # 40 bits for all around the anchor, 12 each for it with the 17 bytes after and before.
                     b = names.of(sums, left, right) ^ _mix((right - left).astype(np.uint64) * _U(128) + (place - left).astype(np.uint64))
+                    ahead = names.of(sums, place, np.minimum(place + gram + half, n))
+                    behind = names.of(sums, np.maximum(place - half, 0), place + gram)
+                    b = (b & _U(0xFFFFFFFFFF000000)) | (ahead >> _U(52) << _U(12)) | behind >> _U(52)
                     yield n, (a, b, np.full(len(place), doc, np.int64), _located(raw, place))
 
-        yield from _gathered(rows())
+        yield from _gathered(rows(), ANCHORS)
 
     return run
 
 
 def _name_windows(length: int, gram: int):
-    """(doc, raw, place of each open anchor) to the names of both halves of every window around them."""
+    """(doc, raw, places of open anchors with their sides) to the names of every window left open around them."""
     before = length - gram
+    half = before // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(2)
+        names = Names()
 
         def rows() -> Iterator[tuple[int, tuple]]:
             for batch in batches:
                 for doc, text, place in zip(batch.column("doc").to_pylist(), batch.column("raw"), batch.column("places"), strict=True):
                     raw = text.as_py()
                     sums = names.sums(np.frombuffer(raw, np.uint8))
-                    open_ = np.zeros(len(raw) - length + 1, np.int64)
-                    at = np.asarray(place.values.to_numpy(), np.int64)
-                    np.add.at(open_, np.maximum(at - before, 0), 1)
-                    ends = at + 1
-                    np.add.at(open_, ends[ends < len(open_)], -1)
-                    start = np.flatnonzero(np.cumsum(open_) > 0)
-                    half = length // 2
-                    a, b = names.of(sums, start, start + half), names.of(sums, start + half, start + length)
-                    yield len(raw), (a, b, np.full(len(start), doc, np.int64), _located(raw, start))
-
-        yield from _gathered(rows())
+                    coded = place.values.to_numpy()
+                    at, ahead, behind = coded >> 2, coded & 2 > 0, coded & 1 > 0
+                    # Starts from a - 17 to a if what follows the anchor is repeated, from a - 34 to a - 18 if what precedes it is.
+                    first = np.concatenate([at[ahead] - half, at[behind] - before])
+                    end = np.concatenate([at[ahead] + 1, at[behind] - half])
+                    n = len(raw) - length + 1
+                    change = np.bincount(np.clip(first, 0, n), minlength=n + 1) - np.bincount(np.clip(end, 0, n), minlength=n + 1)
+                    start = np.flatnonzero(np.cumsum(change[:n]) > 0)
+                    middle = length // 2
+                    one, two = names.of(sums, start, start + middle), names.of(sums, start + middle, start + length)
+                    a = _mix(one ^ _mix(two + _BASE))
+                    second = (_mix(one * _U(0xD6E8FEB86659FD93) + two) >> _U(44) << _U(44)).view(np.int64)
+                    yield len(raw), (a, np.full(len(start), doc, np.int64), _located(raw, start) | second)
+
+        yield from _gathered(rows(), WINDOWS)
 
     return run
 
@@ -180,39 +196,49 @@ def _texts(documents: DataFrame, length: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), raw.alias("raw")).where(F.col("doc").isNotNull() & (F.octet_length("raw") >= length))
 
 
-def _spans(rows: DataFrame, before: int, after: int) -> DataFrame:
-    """Rows at places to (doc, text_crc, from, to)."""
-    place = F.col("loc").bitwiseAND(0xFFFFFFFF)
-    return rows.select("doc", F.shiftrightunsigned("loc", 32).alias("crc"), F.greatest(place - before, F.lit(0)).alias("from"), (place + after).alias("to"))
+def _place() -> Column:
+    return F.col("loc").bitwiseAND(0xFFFFFFFF).alias("place")
+
+
+def _of_text() -> Column:
+    return F.shiftright("loc", 32).bitwiseAND(TAG).alias("tag")
+
+
+def _tag(raw: str) -> Column:
+    return F.crc32(raw).bitwiseAND(TAG).alias("tag")
 
 
 def removed_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, crc, spans): byte ranges of each document covered by strings of `length` bytes that also start in a document with a smaller id.
+    """(doc, tag, spans): byte ranges of each document covered by strings of `length` bytes that also start in a document with a smaller id.
 
-    `crc` is that of the text, `spans` an array of (from, to) that may overlap and end behind the text.
+    `tag` is of the text's checksum, `spans` an array of (from, to) that may overlap and end behind the text.
     """
     texts = _texts(documents, length)
-    # Round 1 and 2. One exchange by the name of the 16 bytes serves both; copies within a batch do not go to its group.
-    named = texts.mapInArrow(_name_anchors(length, gram), ROWS)
+    named = texts.mapInArrow(_name_anchors(length, gram), ANCHORS).repartition("a")
+    # The 16 bytes and all around them. One exchange serves these rounds; copies within a batch do not go to its group.
     pair, single = Window.partitionBy("a", "b"), Window.partitionBy("a")
     ranked = (
-        named.repartition("a")
-        .withColumn("first", F.min("doc").over(pair))
+        named.withColumn("first", F.min("doc").over(pair))
         .withColumn("low", F.min("doc").over(single))
         .withColumn("high", F.max("doc").over(single))
-        .withColumn("same", F.min("b").over(single) == F.max("b").over(single))
+        .where("covered or low < high")
+    )
+    # 16 + 17 bytes either way, of what no earlier document has with all around it.
+    several = lambda *names: F.min("doc").over(Window.partitionBy(*names)) < F.max("doc").over(Window.partitionBy(*names))
+    sides = ranked.withColumn("covered", F.col("covered") | (F.col("doc") > F.col("first"))).select(
+        "a", "doc", "loc", "covered", F.shiftright("b", 12).bitwiseAND(0xFFF).alias("x"), F.col("b").bitwiseAND(0xFFF).alias("y")
     )
-    # Repeated: an earlier document has the whole surroundings. Open: the anchor is in several documents with several surroundings.
-    state = F.when(F.col("covered") | (F.col("doc") > F.col("first")), True).when((F.col("low") < F.col("high")) & ~F.col("same"), False)
-    anchored = cut(ranked.select("doc", "loc", state.alias("covered")).where("covered is not null"))
-    # Round 3, for the surroundings left open: one row per window, ranked by the names of its halves.
-    crc = F.shiftrightunsigned("loc", 32)
-    open_ = anchored.where("not covered").groupBy("doc", crc.alias("crc")).agg(F.collect_list(F.col("loc").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
-    asked = texts.withColumn("crc", F.crc32("raw")).join(open_, ["doc", "crc"]).select("doc", "raw", "places")
-    windows = asked.mapInArrow(_name_windows(length, gram), ROWS).withColumn("first", F.min("doc").over(pair))
-    repeated = cut(windows.where("covered or doc > first").select("doc", "loc"))
-    spans = _spans(anchored.where("covered"), length - gram, length).unionByName(_spans(repeated, 0, length))
-    return spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    coded = _place() * 4 + F.when(several("a", "x"), 2).otherwise(0) + F.when(several("a", "y"), 1).otherwise(0)
+    anchored = cut(sides.select("doc", _of_text(), _place(), "covered", coded.alias("coded")).where("covered or coded % 4 > 0"))
+    # 25 + 25 bytes, for the windows left open.
+    open_ = anchored.where("not covered").groupBy("doc", "tag").agg(F.collect_list("coded").alias("places"))
+    asked = texts.withColumn("tag", _tag("raw")).join(open_, ["doc", "tag"]).select("doc", "raw", "places")
+    windows = asked.mapInArrow(_name_windows(length, gram), WINDOWS).repartition("a")
+    same = Window.partitionBy("a", F.shiftrightunsigned("loc", 44))
+    repeated = cut(windows.withColumn("first", F.min("doc").over(same)).where("covered or doc > first").select("doc", _of_text(), _place()))
+    span = lambda rows, back: rows.select("doc", "tag", F.greatest(F.col("place") - back, F.lit(0)).alias("from"), (F.col("place") + length).alias("to"))
+    spans = span(anchored.where("covered"), length - gram).unionByName(span(repeated, 0))
+    return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +279,8 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     mine = {c: f"_in_{c}" for c in documents.columns if c != "text"}
     spans = removed_spans(documents, length)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
-    base = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], raw).withColumn("crc", F.crc32("raw"))
-    same = (base["_in_doc_id"].cast("long") == spans["doc"]) & (base["crc"] == spans["crc"])
+    base = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], raw).withColumn("_tag", _tag("raw"))
+    same = (base["_in_doc_id"].cast("long") == spans["doc"]) & (base["_tag"] == spans["tag"])
     joined = base.join(spans, same, "left").select(*mine.values(), "raw", "spans")
     schema = T.StructType(list(joined.drop("raw", "spans").schema.fields))
     for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
