@@ -1,15 +1,14 @@
 """Repeated passages by distributed prefix doubling over sampled positions.
 
-A suffix array ranks all positions by what follows, doubling the length its ranks stand for in each round: the rank of 2h
-bytes is that of the pair (rank of h bytes here, rank of h bytes at offset h). Here the ranks stand for 16, 16 + 17 and
-25 + 25 bytes; Spark sorts the pairs, and positions whose rank is unique leave, so the last round holds only those that the
-earlier ones left open.
+A suffix array ranks all positions by what follows, lengthening what its ranks stand for in each round: the rank of h + k
+bytes is that of the pair (rank of h bytes here, rank of k bytes at offset h). Here the ranks stand for 16 bytes, then for
+25, 33 and 42 bytes either way, then for 25 + 25 bytes; Spark sorts the pairs, and positions whose rank is unique leave, so
+the last round holds only those that the earlier ones left open.
 
 The first rounds need few positions. Of the 35 strings of 16 bytes in a window of 50 the one with the least hash is an
 anchor; equal windows have equal anchors at the same place. So a window is repeated only if its anchor is, and if two
-anchors agree in the 34 bytes before and the 50 after them, so do all windows that hold them there. Of those left, a window
-that starts at most 17 bytes before its anchor holds the anchor and the 17 bytes after it, and one that starts earlier
-holds the 17 bytes before it.
+anchors agree in the 34 bytes before and the 50 after them, so do all windows that hold them there. Of those left, the
+anchor's ranks bound how far before and after it a repeated window can reach.
 
 Ranks are names, not ordinals: hashes, equal for equal strings. Windows count as repeated if 84 bits of their names agree.
 """
@@ -30,6 +29,8 @@ from alertweave.llm.common import cut
 
 LENGTH = 50
 GRAM = 16
+#: Bytes by which the rounds after the first lengthen an anchor.
+STEPS = (9, 17, 26)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -133,7 +134,6 @@ def _located(raw: bytes, place: np.ndarray) -> np.ndarray:
 
 def _name_anchors(length: int, gram: int):
     before, after = length - gram, length
-    half = before // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -147,11 +147,13 @@ def _name_anchors(length: int, gram: int):
                     place = anchors(names, sums, length, gram)
                     left, right = np.maximum(place - before, 0), np.minimum(place + after, n)
                     a = names.of(sums, place, place + gram)
-                    # 40 bits for all around the anchor, 12 each for it with the 17 bytes after and before.
-                    b = names.of(sums, left, right) ^ _mix((right - left).astype(np.uint64) * _U(128) + (place - left).astype(np.uint64))
-                    ahead = names.of(sums, place, np.minimum(place + gram + half, n))
-                    behind = names.of(sums, np.maximum(place - half, 0), place + gram)
-                    b = (b & _U(0xFFFFFFFFFF000000)) | (ahead >> _U(52) << _U(12)) | behind >> _U(52)
+                    # 34 bits for all around the anchor, then 5 for each of its lengthenings after and before.
+                    around = names.of(sums, left, right) ^ _mix((right - left).astype(np.uint64) * _U(128) + (place - left).astype(np.uint64))
+                    b = around >> _U(30) << _U(30)
+                    for k, step in enumerate(STEPS):
+                        ahead = names.of(sums, place, np.minimum(place + gram + step, n))
+                        behind = names.of(sums, np.maximum(place - step, 0), place + gram)
+                        b |= ahead >> _U(59) << _U(25 - 5 * k) | behind >> _U(59) << _U(10 - 5 * k)
                     yield n, (a, b, np.full(len(place), doc, np.int64), _located(raw, place))
 
         yield from _gathered(rows(), ANCHORS)
@@ -160,26 +162,28 @@ def _name_anchors(length: int, gram: int):
 
 
 def _name_windows(length: int, gram: int):
-    """(doc, raw, places of open anchors with their sides) to the names of every window left open around them."""
+    """(doc, raw, coded anchors) to the names of every window left open around them."""
     before = length - gram
-    half = before // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
 
         def rows() -> Iterator[tuple[int, tuple]]:
             for batch in batches:
-                for doc, text, place in zip(batch.column("doc").to_pylist(), batch.column("raw"), batch.column("places"), strict=True):
+                for doc, text, coded in zip(batch.column("doc").to_pylist(), batch.column("raw"), batch.column("coded"), strict=True):
                     raw = text.as_py()
                     sums = names.sums(np.frombuffer(raw, np.uint8))
-                    coded = place.values.to_numpy()
-                    at, ahead, behind = coded >> 2, coded & 2 > 0, coded & 1 > 0
-                    # Starts from a - 17 to a if what follows the anchor is repeated, from a - 34 to a - 18 if what precedes it is.
-                    first = np.concatenate([at[ahead] - half, at[behind] - before])
-                    end = np.concatenate([at[ahead] + 1, at[behind] - half])
+                    code = coded.values.to_numpy()
+                    place, least, most = code >> 12, code >> 6 & 63, code & 63
                     n = len(raw) - length + 1
-                    change = np.bincount(np.clip(first, 0, n), minlength=n + 1) - np.bincount(np.clip(end, 0, n), minlength=n + 1)
-                    start = np.flatnonzero(np.cumsum(change[:n]) > 0)
+
+                    def starts(first: np.ndarray, last: np.ndarray, n: int = n) -> np.ndarray:
+                        change = np.bincount(np.clip(first, 0, n), minlength=n + 1) - np.bincount(np.clip(last + 1, 0, n), minlength=n + 1)
+                        return np.cumsum(change[:n]) > 0
+
+                    # What lies around a repeated anchor is repeated, and an earlier document shows it to later ones.
+                    done = least > most
+                    start = np.flatnonzero(starts((place - most)[~done], (place - least)[~done]) & ~starts(place[done] - before, place[done]))
                     middle = length // 2
                     one, two = names.of(sums, start, start + middle), names.of(sums, start + middle, start + length)
                     a = _mix(one ^ _mix(two + _BASE))
@@ -223,16 +227,28 @@ def removed_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
         .withColumn("high", F.max("doc").over(single))
         .where("covered or low < high")
     )
-    # 16 + 17 bytes either way, of what no earlier document has with all around it.
-    several = lambda *names: F.min("doc").over(Window.partitionBy(*names)) < F.max("doc").over(Window.partitionBy(*names))
+    # Longer strings after and before the anchor, of what no earlier document has with all around it. The further a string
+    # is found with other surroundings too, the further a window may reach: at most to the next step.
+    bits = lambda shift: F.shiftright("b", shift).bitwiseAND(31)
     sides = ranked.withColumn("covered", F.col("covered") | (F.col("doc") > F.col("first"))).select(
-        "a", "doc", "loc", "covered", F.shiftright("b", 12).bitwiseAND(0xFFF).alias("x"), F.col("b").bitwiseAND(0xFFF).alias("y")
+        "a", "b", "doc", "loc", "covered", *[bits(25 - 5 * k).alias(f"x{k}") for k in range(3)], *[bits(10 - 5 * k).alias(f"y{k}") for k in range(3)]
     )
-    coded = _place() * 4 + F.when(several("a", "x"), 2).otherwise(0) + F.when(several("a", "y"), 1).otherwise(0)
-    anchored = cut(sides.select("doc", _of_text(), _place(), "covered", coded.alias("coded")).where("covered or coded % 4 > 0"))
+
+    def reach(side: str) -> Column:
+        """The bytes beyond the anchor's 16 that a window may have on this side."""
+        out = F.lit(STEPS[0] - 1)
+        for k in range(3):
+            held = Window.partitionBy("a", *[f"{side}{j}" for j in range(k + 1)])
+            out = F.when(F.min("b").over(held) < F.max("b").over(held), STEPS[k + 1] - 1 if k < 2 else length - gram).otherwise(out)
+        return out
+
+    reached = sides.withColumn("least", F.lit(length - gram) - reach("x")).withColumn("most", reach("y"))
+    # Windows start `least` to `most` bytes before the anchor; a repeated anchor's code has them the wrong way round.
+    code = _place() * 4096 + F.when(F.col("covered"), 63 * 64).otherwise(F.col("least") * 64 + F.col("most"))
+    anchored = cut(reached.where("covered or least <= most").select("doc", _of_text(), _place(), "covered", code.alias("coded")))
     # 25 + 25 bytes, for the windows left open.
-    open_ = anchored.where("not covered").groupBy("doc", "tag").agg(F.collect_list("coded").alias("places"))
-    asked = texts.withColumn("tag", _tag("raw")).join(open_, ["doc", "tag"]).select("doc", "raw", "places")
+    open_ = anchored.groupBy("doc", "tag").agg(F.collect_list("coded").alias("coded"), F.bool_and("covered").alias("done")).where("not done").drop("done")
+    asked = texts.withColumn("tag", _tag("raw")).join(open_, ["doc", "tag"]).select("doc", "raw", "coded")
     windows = asked.mapInArrow(_name_windows(length, gram), WINDOWS).repartition("a")
     same = Window.partitionBy("a", F.shiftrightunsigned("loc", 44))
     repeated = cut(windows.withColumn("first", F.min("doc").over(same)).where("covered or doc > first").select("doc", _of_text(), _place()))
