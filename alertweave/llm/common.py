@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df` stored in the shared checkpoint folder; shuffle files of the steps behind it may then go."""
     stored = cut_lineage(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver forgets the last stages of a job only a moment after it
+        time.sleep(0.3)
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return stored
