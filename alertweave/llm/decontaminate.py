@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import cut
+from alertweave.llm.common import cut, settle
 
 WINDOW = 8
 #: Of an item's template windows, the part that must be found in a document.
@@ -19,7 +19,7 @@ SHARE = 0.5
 #: Items of fewer tokens are in too many texts by chance, and match nothing.
 LEAST = 4
 FILTER_BITS = 24
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds "
@@ -170,6 +170,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     2^24 bits, as large for any benchmark, may hold; Spark joins these exactly.
     """
     spark = documents.sparkSession
+    settle(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     cut_items = cut(items.mapInArrow(_item_windows, WINDOWS).distinct())
     marked = cut_items.select("hash").mapInArrow(_mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.llm.common import settle
+
 #: Labelled pages that the weights are fitted on, about so many; chosen by the hash of their id.
 FIT_PAGES = 2_000
 
@@ -227,6 +229,7 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> Weights:
     """Weights from about `most` labelled pages, picked evenly by the hash of their id; keys are tag names and flags, so few."""
     import ast
 
+    settle(pages.sparkSession)
     marked = pages.select("page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     n = marked.count()
     some = marked.where(F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // max(1, most)))) == 0) if n > most else marked

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertweave.llm.common import settle
+
 UNKNOWN = "und"
 BITS = 15
 ORDERS = (1, 2, 3)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -106,7 +108,7 @@ class LanguageModel:
             for gram in grams if self.languages else []:
                 # A text's n-grams are summed between its start and the next one's; the zero row stands for what counts nothing.
                 at = np.minimum(starts, len(gram))
-                sums = np.add.reduceat(np.concatenate([self.log_p[gram], self.log_p[-1:]]), at, axis=0)
+                sums = np.add.reduceat(self.log_p[np.append(gram, -1)], at, axis=0)
                 np.add.at(scores, rows_of, np.where((np.diff(at, append=len(gram)) > 0)[:, None], sums, 0))
         scores += self.prior
         top = scores.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
@@ -124,6 +126,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     Each task sums its own rows, Spark adds the sums up by (language, bucket); the driver gets one number for each of them,
     which is bounded by languages x 2^15 however large the corpus. An empty table gives a model that knows no language.
     """
+    settle(labelled.sparkSession)
     seen = labelled.select("text", "lang").where("text is not null and lang is not null")
     counts = seen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts.lang.unique())
@@ -141,6 +144,7 @@ def identify(df: DataFrame, model: LanguageModel, keep_text: bool = True) -> Dat
     Only `text` decides. Null, empty and letterless texts are `und` with score 0; with a model that knows no language every
     text is. Equal texts get equal answers, other columns pass through whatever their names.
     """
+    settle(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
     kept = df.select(*[F.col(f"`{f.name}`") for f in fields])

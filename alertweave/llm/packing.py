@@ -13,11 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.llm.common import settle
+
 WINDOW = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words, and parts of words, kept with their ids in a Python worker; later ones are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 TEXTS_AT_ONCE = 64
 #: A run of letters without case rules that depend on their surroundings, then punctuation. Its ids are those of the two parts.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;?#$%&*|!]*)")
@@ -206,6 +208,8 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFram
     gives no rows; other columns are not read. Memory is that of the open windows, whose number the rule keeps low.
     """
 
+    settle(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         packer = Packer(window)

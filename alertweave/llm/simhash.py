@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import cut
+from alertweave.llm.common import cut, settle
 from alertweave.operators.components import connected_components
 
 WORDS = 4
@@ -54,6 +54,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             fp = [fingerprint(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
+    settle(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertweave.llm.common import cut
+from alertweave.llm.common import cut, settle
 
 LENGTH = 50
 GRAM = 16
@@ -99,7 +99,7 @@ def _first_owners(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
 ANCHORS = "a long, b long, doc long, loc long, covered boolean"
 WINDOWS = "a long, doc long, loc long, covered boolean"
 #: Texts are named and compared in batches of about so many bytes.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: loc has the place in its lower 32 bits, then 12 bits of the text's checksum, so that repeated ids with different texts stay
 #: apart, then 20 bits of a window's second name.
 TAG = 0xFFF
@@ -217,6 +217,7 @@ def removed_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     `tag` is of the text's checksum, `spans` an array of (from, to) that may overlap and end behind the text.
     """
+    settle(documents.sparkSession)
     texts = _texts(documents, length)
     named = texts.mapInArrow(_name_anchors(length, gram), ANCHORS).repartition("a")
     # The 16 bytes and all around them. One exchange serves these rounds; copies within a batch do not go to its group.
@@ -257,8 +258,8 @@ def removed_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds kept (bytes left), n_bytes, n_removed and n_spans to rows with raw and spans."""
+def _keep(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """Adds kept (bytes left, or the characters among them), n_bytes, n_removed and n_spans to rows with raw and spans."""
     for batch in batches:
         kept, sizes, removed, runs = [], [], [], []
         spans = batch.column("spans")
@@ -280,12 +281,13 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(raw))
         own_columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("raw", "spans")]
         names = [name for name in batch.schema.names if name not in ("raw", "spans")]
-        new = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+        left = pa.array([raw.decode("utf-8", "ignore") for raw in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        new = [left, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
         yield pa.RecordBatch.from_arrays([*own_columns, *new], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`documents` (doc_id, text, ...) without text, plus kept (binary), n_bytes, n_removed and n_spans.
+def deduplicated(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """`documents` (doc_id, text, ...) without text, plus kept (binary, or a string of the whole characters left), n_bytes, n_removed and n_spans.
 
     Removed is each byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id, judged on
     the input. Texts are UTF-8 bytes as a whole, null ones empty; texts shorter than `length` and rows without doc_id keep
@@ -299,9 +301,9 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     same = (base["_in_doc_id"].cast("long") == spans["doc"]) & (base["_tag"] == spans["tag"])
     joined = base.join(spans, same, "left").select(*mine.values(), "raw", "spans")
     schema = T.StructType(list(joined.drop("raw", "spans").schema.fields))
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+    for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
-    done = joined.mapInArrow(_keep, schema)
+    done = joined.mapInArrow(lambda batches: _keep(batches, as_text), schema)
     return done.select(*[F.col(n).alias(c) for c, n in mine.items() if c not in ("kept", "n_bytes", "n_removed", "n_spans")], "kept", "n_bytes", "n_removed", "n_spans")
 
 
@@ -313,20 +315,10 @@ def report(documents: DataFrame) -> DataFrame:
 
 def with_repeats_removed(documents: DataFrame) -> DataFrame:
     """`documents` with the kept text, all columns kept; n_chars follows it. Parts of a character left at a cut go too; null texts come back empty."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [raw.as_py().decode("utf-8", "ignore") for raw in batch.column("kept")]
-            at = batch.schema.get_field_index("kept")
-            columns = [pa.array(text, pa.string()) if k == at else column for k, column in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, ["text" if name == "kept" else name for name in batch.schema.names])
-
-    done = deduplicated(documents).drop("n_bytes", "n_removed", "n_spans")
-    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "kept" else f for f in done.schema.fields])
-    kept = done.mapInArrow(decode, schema)
+    done = deduplicated(documents, as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in documents.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return kept.select(documents.columns)
+        done = done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return done.select(documents.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.llm.common import settle
+
 #: (host, path, verdict); a rule's name is host + path.
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
@@ -110,6 +112,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_words(pages: DataFrame, most: int = LEXICON) -> Segmenter:
     """Word frequencies of all pages' texts, the seeds included; the `most` most frequent words are kept."""
+    settle(pages.sparkSession)
     counts = pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = {row.word: row.n for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()}

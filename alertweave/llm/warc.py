@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import cut
+from alertweave.llm.common import cut, settle
 
 #: Fixed values of the seekable format: magic of the skippable frame, magic at the file's end, descriptor bit for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -131,6 +131,7 @@ def write(pages: DataFrame) -> DataFrame:
     table gives no bundle; other columns are not read. A task cuts a bundle after about 16 MB and a frame after 256 KB; a
     longer record has a frame of its own, so memory is that of a bundle and one record.
     """
+    settle(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
