@@ -286,14 +286,8 @@ def _keep(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*own_columns, *new], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def deduplicated(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """`documents` (doc_id, text, ...) without text, plus kept (binary, or a string of the whole characters left), n_bytes, n_removed and n_spans.
-
-    Removed is each byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id, judged on
-    the input. Texts are UTF-8 bytes as a whole, null ones empty; texts shorter than `length` and rows without doc_id keep
-    everything. Rows with the same doc_id are not smaller than each other, so repeated rows take nothing from one another.
-    An empty table gives no rows; other columns pass through, whatever their names.
-    """
+def _judged(documents: DataFrame, length: int, as_text: bool) -> DataFrame:
+    """The columns of `documents` but text, under names with _in_ before them; kept, n_bytes, n_removed and n_spans."""
     mine = {c: f"_in_{c}" for c in documents.columns if c != "text"}
     spans = removed_spans(documents, length)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
@@ -303,8 +297,20 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, as_text: bool = Fal
     schema = T.StructType(list(joined.drop("raw", "spans").schema.fields))
     for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
-    done = joined.mapInArrow(lambda batches: _keep(batches, as_text), schema)
-    return done.select(*[F.col(n).alias(c) for c, n in mine.items() if c not in ("kept", "n_bytes", "n_removed", "n_spans")], "kept", "n_bytes", "n_removed", "n_spans")
+    return joined.mapInArrow(lambda batches: _keep(batches, as_text), schema)
+
+
+def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`documents` (doc_id, text, ...) without text, plus kept (binary), n_bytes, n_removed and n_spans.
+
+    Removed is each byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id, judged on
+    the input. Texts are UTF-8 bytes as a whole, null ones empty; texts shorter than `length` and rows without doc_id keep
+    everything. Rows with the same doc_id are not smaller than each other, so repeated rows take nothing from one another.
+    An empty table gives no rows; other columns pass through, but for those named like the new ones.
+    """
+    new = ["kept", "n_bytes", "n_removed", "n_spans"]
+    done = _judged(documents, length, as_text=False)
+    return done.select(*[F.col(f"_in_{c}").alias(c) for c in documents.columns if c not in ("text", *new)], *new)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -315,10 +321,11 @@ def report(documents: DataFrame) -> DataFrame:
 
 def with_repeats_removed(documents: DataFrame) -> DataFrame:
     """`documents` with the kept text, all columns kept; n_chars follows it. Parts of a character left at a cut go too; null texts come back empty."""
-    done = deduplicated(documents, as_text=True).withColumnRenamed("kept", "text")
+    done = _judged(documents, LENGTH, as_text=True)
+    own = {"text": F.col("kept")}
     if "n_chars" in documents.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return done.select(documents.columns)
+        own["n_chars"] = F.length("kept").cast(documents.schema["n_chars"].dataType)
+    return done.select(*[(own[c] if c in own else F.col(f"_in_{c}")).alias(c) for c in documents.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

@@ -123,7 +123,7 @@ def learn_words(pages: DataFrame, most: int = LEXICON) -> Segmenter:
     return Segmenter({w: math.log((n + 1) / whole) for w, n in top.items()}, -math.log(whole))
 
 
-def train(pages: DataFrame, most: int = FEATURES, smoothing: float = 1.0) -> UrlModel:
+def train(pages: DataFrame, most: int = FEATURES, smoothing: float = 0.1) -> UrlModel:
     """Fit on all urls: those with a seed among their host's words are the block class, the others the allow class."""
     model = UrlModel(learn_words(pages), 0.0, {})
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -82,7 +82,7 @@ class BundleReader:
         count, descriptor, magic = struct.unpack("<IBI", content[-9:])
         width = 12 if descriptor & CHECKSUMS else 8
         start = len(content) - 9 - count * width
-        kind, size = struct.unpack("<II", content[start - 8 : start])
+        kind, size = struct.unpack("<II", content[start - 8 : start]) if magic == SEEKABLE and start >= 8 else (0, 0)
         if (magic, kind, size) != (SEEKABLE, SKIPPABLE, count * width + 9):
             raise ValueError("no seek table")
         self.content, self.at = content, [0]
