@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -610,7 +611,11 @@ def evidence_map(spark, sf_dir):
 
 @query
 def leak_scan(spark, sf_dir):
+    """Every package gets one more item that tells one of its aliased values, inside a url and before a full stop."""
     package = _message_package(spark, sf_dir)
+    told = package.alias_map.groupBy("package_id").agg(F.min("value").alias("_v"))
+    planted = told.select("package_id", F.lit("planted").alias("evidence_ref"), F.format_string("curl http://%s/x from %s.", "_v", "_v").alias("message"))
+    package = replace(package, items=package.items.unionByName(planted, allowMissingColumns=True))
     found = privacy.leaks(package).groupBy("package_id").agg(F.count(F.lit(1)).alias("_n"))
     return package.items.groupBy("package_id").agg(F.count(F.lit(1)).alias("items")).join(found, "package_id", "left").select(
         "package_id", "items", F.coalesce("_n", F.lit(0)).alias("leaks")

@@ -473,7 +473,10 @@ from (select package_id, id as alert_id, unnest([
      'marker': command_line}]) as f from safe) where f.marker is not null"""
 ORACLES["evidence_map"] = _MESSAGES + f"""
 select package_id, tenant_id, {_REF} as evidence_ref, id as internal_alert_id, cast(id as varchar) as source_event_id from messages"""
-ORACLES["leak_scan"] = _MESSAGES + " select package_id, count(*) as items, cast(0 as bigint) as leaks from messages group by package_id"
+ORACLES["leak_scan"] = _MESSAGES + """
+select package_id, m.n + coalesce(a.told, 0) as items, cast(coalesce(a.told, 0) as bigint) as leaks
+from (select package_id, count(*) as n from messages group by package_id) m
+left join (select package_id, least(1, count(*)) as told from aliases group by package_id) a using (package_id)"""
 ORACLES["alert_evidence"] = "with " + O.ALERTS + """,
 packed as (
   select tenant_id || '/' || src_ip as package_id, row_number() over (partition by tenant_id || '/' || src_ip order by id) as item_no,

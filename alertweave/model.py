@@ -95,7 +95,7 @@ class CorrelationPolicy:
     rule_version: str = "corr-v2"
     window_seconds: int = 7200
     edge_threshold: int = 50
-    candidate_limit: int = 1000
+    candidate_limit: int | None = None
     weights: dict[str, int] = field(
         default_factory=lambda: {"HASH": 50, "DEVICE": 40, "USER": 25, "IP": 15}
     )

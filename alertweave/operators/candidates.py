@@ -78,11 +78,13 @@ def _bucket_pairs(left: DataFrame, right: DataFrame, window_us: int, both_ways:
     return a.join(b, key).where(order & _meets(window_us))
 
 
-def split_by_load(primary: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(calm, busy) rows: an entity is busy when more than limit + 1 signals share it.
+def split_by_load(primary: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(calm, busy) rows: an entity is busy when more than limit + 1 signals share it; none is without a limit.
 
     Counting entities is one small job; where none is busy, busy is None and its plan left out.
     """
+    if limit is None:
+        return primary, None
     crowd = primary.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit + 1)
     names = crowd.select(*ENTITY)
     if names.isEmpty():
@@ -190,10 +192,12 @@ def candidate_stats(profile: DataFrame, linkable: DataFrame, policy: model.Corre
     rows = cut_lineage(_directed(profile, linkable, policy, True))
     per_entity = rows.groupBy(*ENTITY, "a_signal_id").agg(F.count(F.lit(1)).alias("_n"))
     per_signal = rows.select("tenant_id", "a_signal_id", "b_signal_id").distinct().groupBy("tenant_id", "a_signal_id").count()
+    limit = policy.candidate_limit
+    truncated = F.max("_n") >= limit if limit is not None else F.max("_n") < 0
     return (
         per_signal.groupBy("tenant_id").agg(F.max("count").alias("max_candidate_set_size"))
         .join(
-            per_entity.groupBy("tenant_id").agg((F.max("_n") >= policy.candidate_limit).alias("candidate_set_truncated")),
+            per_entity.groupBy("tenant_id").agg(truncated.alias("candidate_set_truncated")),
             "tenant_id",
         )
     )

@@ -39,8 +39,11 @@ def new_deliveries(alerts: DataFrame, history: DataFrame) -> DataFrame:
 
     `history` has (tenant_id, dedup_fingerprint).
     """
-    seen = history.select("tenant_id", "dedup_fingerprint")
-    return first_deliveries(alerts).join(seen, ["tenant_id", "dedup_fingerprint"], "left_anti")
+    seen = history.select("tenant_id", "dedup_fingerprint").where("dedup_fingerprint is not null")
+    firsts = first_deliveries(alerts)
+    # Rows without a fingerprint repeat nothing; in the join they would all meet.
+    named = firsts.where("dedup_fingerprint is not null").join(seen, ["tenant_id", "dedup_fingerprint"], "left_anti")
+    return named.unionByName(firsts.where("dedup_fingerprint is null"))
 
 
 def mark_duplicates(alerts: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -62,8 +65,10 @@ def mark_duplicates(alerts: DataFrame, history: DataFrame | None = None) -> Data
         firsts = firsts.join(known, ["tenant_id", "dedup_fingerprint"], "left").select(
             "tenant_id", "dedup_fingerprint", F.coalesce("_known_id", "_first_id").alias("_first_id")
         )
+    # Rows without a fingerprint repeat nothing; in the join they would all meet.
+    named = tagged.where("dedup_fingerprint is not null").join(firsts, ["tenant_id", "dedup_fingerprint"], "left")
     return (
-        tagged.join(firsts, ["tenant_id", "dedup_fingerprint"], "left")
+        named.unionByName(tagged.where("dedup_fingerprint is null"), allowMissingColumns=True)
         .withColumn("duplicate_of_alert_id", F.when(F.col("_first_id") != F.col("id"), F.col("_first_id")))
         .withColumn("dedup_fingerprint_version",
                     F.when(F.col("dedup_fingerprint").isNotNull(), model.FINGERPRINT_VERSION))

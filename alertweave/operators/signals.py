@@ -46,9 +46,14 @@ def with_rule(alerts: DataFrame, rules: dict | None = None, lookup: str = "exact
     )
 
 
+def _slot(us: str) -> str:
+    """SQL of the slot a time falls into: division rounded down, also before 1970."""
+    return f"({us} div gap_us - if({us} % gap_us < 0, 1, 0))"
+
+
 def with_slot(ruled: DataFrame) -> DataFrame:
     return ruled.withColumn("ts_us", C.to_us(F.col("timestamp"))).withColumn(
-        "slot", F.expr("ts_us div gap_us")
+        "slot", F.expr(_slot("ts_us"))
     )
 
 
@@ -139,7 +144,7 @@ def late_matches(signals: DataFrame, late_alerts: DataFrame, rules: dict | None
     late = with_slot(with_rule(late_alerts, rules, lookup))
     # A signal is within reach of the slots it spans and one slot on either side.
     near = signals.withColumn(
-        "slot", F.explode(F.sequence(F.expr("first_us div gap_us - 1"), F.expr("last_us div gap_us + 1")))
+        "slot", F.explode(F.sequence(F.expr(_slot("first_us") + " - 1"), F.expr(_slot("last_us") + " + 1")))
     ).select(*KEY, "slot", "signal_id", "first_us", "last_us")
     return (
         late.join(near, [*KEY, "slot"])

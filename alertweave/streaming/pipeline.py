@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +43,10 @@ class Store:
         path = f"{self.root}/{name}"
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        try:
-            df = self.spark.read.option("basePath", path).parquet(path)
-        except AnalysisException:
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/part-*")):
             return None
+        df = self.spark.read.option("basePath", path).parquet(path)
         return df if before is None else df.where(F.col("batch") < before)
 
 

