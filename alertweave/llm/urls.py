@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import settle
+from alertweave.llm.common import cut, settle
 
 #: (host, path, verdict); a rule's name is host + path.
 RULES = [
@@ -20,7 +20,7 @@ RULES = [
 ]
 #: Host words that mark a page as unwanted when the classifier is trained.
 SEEDS = frozenset("ads adult banner bet bets betting casino cheap click free gambling jackpot loan lottery nude pills poker porn promo sex slots spam track tracker viagra win xxx".split())
-#: Bounds of the broadcast tables: the most frequent words and tokens of all pages, ties in alphabetical order.
+#: Bounds of the broadcast tables: the most frequent words and tokens of all pages.
 LEXICON = 50_000
 FEATURES = 100_000
 LONGEST = 24
@@ -110,12 +110,25 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
 
+def _frequent(counts: DataFrame, most: int) -> list:
+    """The rows with the highest n, at most `most`; of those that are equal where this cuts, none. No task sends more than it has of them."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most).collect()
+    held, least = 0, None
+    for row in sizes:
+        held += row.k
+        if held > most:
+            break
+        least = row.n
+    return counts.where(F.col("n") >= least).collect() if least is not None else []
+
+
 def learn_words(pages: DataFrame, most: int = LEXICON) -> Segmenter:
     """Word frequencies of all pages' texts, the seeds included; the `most` most frequent words are kept."""
     settle(pages.sparkSession)
     counts = pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = {row.word: row.n for row in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+    top = {row.word: row.n for row in _frequent(counts, most)}
     # Host names are made of words that texts may lack.
     for word in SEEDS:
         top[word] = max(top.get(word, 0), 1 + total // 100_000)
@@ -143,10 +156,10 @@ def train(pages: DataFrame, most: int = FEATURES, smoothing: float = 0.1) -> Url
     rows = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").mapInArrow(count, "bad boolean, token string, n long")
     bad = F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad")
     good = F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("good")
-    counts = rows.groupBy("token").agg(bad, good, F.sum("n").alias("n"))
+    counts = cut(rows.groupBy("token").agg(bad, good, F.sum("n").alias("n")))
     sums = counts.where("token <> ''").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("kinds")).first()
     pages_of = counts.where("token = ''").first()
-    top = counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(most).collect()
+    top = _frequent(counts.where("token <> ''"), most)
     if not top:
         return model
     kinds = smoothing * sums.kinds
@@ -164,9 +177,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     """
     shared = pages.sparkSession.sparkContext.broadcast(train(pages))
     host, path = parts(F.col("url").cast("string"))
-    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    ruled = cut.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
+    ruled = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
