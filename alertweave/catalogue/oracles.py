@@ -160,6 +160,76 @@ reach as (
 ),
 components as (select v as signal_id, min(r) as component from reach group by v)"""
 
+# The ordered walk, one signal of every component a step. A component's state is three lists: incidents so far, who is in them,
+# and what was decided.
+WALK = """
+ends as (
+  select left_signal_id as signal_id, {'id': right_signal_id, 'score': score} as link from edges
+  union all select right_signal_id, {'id': left_signal_id, 'score': score} from edges
+),
+around as (select signal_id, list(link) as links from ends group by signal_id),
+anchored as (
+  select signal_id, list(entity_type || ':' || entity_value order by entity_type || ':' || entity_value) as anchors
+  from linkable where entity_type in ('USER', 'DEVICE', 'HASH') group by signal_id
+),
+nodes as (
+  select component, signal_id, links, coalesce(anchors, []) as anchors, epoch_us(first_seen) as first_us,
+    sha256(tenant_id || ':corr-v2:' || signal_id) as seed_key,
+    row_number() over (partition by component order by first_seen, cast(anchor_id as varchar), signal_id) as n
+  from signals join components using (signal_id) join around using (signal_id) left join anchored using (signal_id)
+),
+walk as (
+  select distinct component, cast(0 as bigint) as n,
+    cast([] as struct("key" varchar, first_us bigint, anchors varchar[])[]) as incs,
+    cast([] as struct(id varchar, "key" varchar)[]) as holds,
+    cast([] as struct(id varchar, "action" varchar, "key" varchar)[]) as decided
+  from components
+  union all
+  select component, n,
+    case when act = 'SEED' then list_append(incs, {'key': seed_key, 'first_us': first_us, 'anchors': anchors}) else incs end,
+    case when act = 'JOIN' then list_append(holds, {'id': signal_id, 'key': best})
+         when act = 'SEED' then holds || [{'id': signal_id, 'key': seed_key}] || [{'id': l.id, 'key': seed_key} for l in links]
+         else holds end,
+    case when act is null then decided
+         else list_append(decided, {'id': signal_id, 'action': act, 'key': case act when 'JOIN' then best when 'SEED' then seed_key else own end})
+         end
+  from (
+    select *, case when best is not null then 'JOIN' when own is not null then 'REFRESH' when len(anchors) > 0 then 'SEED' end as act
+    from (
+      select x.*, w.incs, w.holds, w.decided,
+        list_sort([r for r in [{
+            'top': -list_max([l.score for l in x.links if list_contains(w.holds, {'id': x.signal_id, 'key': i."key"})
+                                                       or list_contains(w.holds, {'id': l.id, 'key': i."key"})]),
+            'overlap': -len(list_intersect(x.anchors, i.anchors)), 'first_us': i.first_us, 'key': i."key"}
+          for i in w.incs] if r.top is not null and r.overlap < 0])[1]."key" as best,
+        list_sort([{'first_us': i.first_us, 'key': i."key"} for i in w.incs
+          if list_contains(w.holds, {'id': x.signal_id, 'key': i."key"})])[1]."key" as own
+      from walk w join nodes x on x.component = w.component and x.n = w.n + 1))
+),
+decisions as (
+  select d.id as signal_id, d."action" as act, d."key" as incident_key
+  from (select unnest(decided) as d from walk w where n = (select max(n) from nodes x where x.component = w.component))
+  union all select signal_id, 'SINGLETON', incident_key from singles
+),
+acted as (select s.*, act, incident_key from decisions join signals s using (signal_id)),
+updates as (
+  select incident_key, max(last_seen) as seen, max(case when rank >= 4 then rank else 0 end) as risen
+  from acted where act in ('JOIN', 'REFRESH') group by incident_key
+),
+assigned as (
+  select tenant_id, incident_key, signal_id, act, first_seen, greatest(last_seen, coalesce(seen, last_seen)) as last_seen,
+    ['INFO','LOW','MEDIUM','HIGH','CRITICAL'][greatest(rank, coalesce(risen, 0))] as severity
+  from acted left join updates using (incident_key) where act in ('SEED', 'SINGLETON')
+),
+held as (
+  select tenant_id, incident_key, signal_id from acted where act <> 'REFRESH'
+  union select tenant_id, incident_key, link.id from acted join ends using (signal_id) where act = 'SEED'
+)"""
+
+
+def through_incidents(minutes: int = 1440) -> str:
+    return "with recursive " + ",".join([through_edges(minutes)[5:], COMPONENTS, SINGLETONS, WALK])
+
 
 def base(minutes: int = 60) -> str:
     return "with " + FINGERPRINTED + "," + signals(minutes)

@@ -332,6 +332,12 @@ def incident_members(spark, sf_dir):
     return run.members.select("tenant_id", "signal_id").distinct()
 
 
+@query
+def incident_memberships(spark, sf_dir):
+    run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(DAY))
+    return run.members.select("tenant_id", "incident_key", "signal_id")
+
+
 @query
 def run_counts(spark, sf_dir):
     run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(60))

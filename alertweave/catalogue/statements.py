@@ -181,6 +181,13 @@ ORACLES["link_components"] = _COMP + " select * from components"
 
 # ---- incidents ----------------------------------------------------------------------------------------
 ORACLES["singletons"] = O.through_edges(DAY) + "," + O.SINGLETONS + " select tenant_id, signal_id, incident_key from singles"
+ORACLES["incidents_assigned"] = O.through_incidents(DAY) + """
+select a.tenant_id, incident_key, case act when 'SEED' then 'CORRELATED_INCIDENT' else 'SINGLETON_DETECTION' end as incident_type,
+  epoch_us(a.first_seen) as first_us, epoch_us(a.last_seen) as last_us, a.severity,
+  case act when 'SEED' then 'Correlated Incident ' else 'Critical Detection ' end || substr(incident_key, 1, 8) as title,
+  array_to_string(coalesce(anchors, []), ',') as anchors
+from assigned a left join anchored using (signal_id)"""
+ORACLES["incident_memberships"] = O.through_incidents(DAY) + " select tenant_id, incident_key, signal_id from held"
 ORACLES["incident_members"] = O.through_edges(DAY) + "," + O.MEMBERS + " select * from members"
 ORACLES["run_counts"] = O.through_edges(60) + """
 select tenant_id, (select count(*) from alerts x where x.tenant_id = t.tenant_id) as alerts_processed,
