@@ -217,7 +217,10 @@ updates as (
   from acted where act in ('JOIN', 'REFRESH') group by incident_key
 ),
 assigned as (
-  select tenant_id, incident_key, signal_id, act, first_seen, greatest(last_seen, coalesce(seen, last_seen)) as last_seen,
+  select tenant_id, incident_key, signal_id, first_seen,
+    case act when 'SEED' then 'CORRELATED_INCIDENT' else 'SINGLETON_DETECTION' end as incident_type,
+    case act when 'SEED' then 'Correlated Incident ' else 'Critical Detection ' end || substr(incident_key, 1, 8) as title,
+    greatest(last_seen, coalesce(seen, last_seen)) as last_seen,
     ['INFO','LOW','MEDIUM','HIGH','CRITICAL'][greatest(rank, coalesce(risen, 0))] as severity
   from acted left join updates using (incident_key) where act in ('SEED', 'SINGLETON')
 ),

@@ -46,29 +46,8 @@ def _linked(spark, sf_dir, minutes: int = DAY, policy: model.CorrelationPolicy =
     return stage, edges.build_edges(stage.signals, stage.linkable, policy)
 
 
-def _grouped(spark, sf_dir):
-    """(stage, edges, members): link components in the place of incidents."""
-    stage, links = _linked(spark, sf_dir)
-    links = cut_lineage(links)
-    comp = components.connected_components(links)
-    members = stage.signals.select("tenant_id", "signal_id").join(comp, "signal_id").select(
-        "tenant_id", F.col("component").alias("incident_key"), "signal_id"
-    )
-    return stage, links, members
-
-
-def _group_incidents(stage, members) -> DataFrame:
-    """One incident row per link component."""
-    facts = stage.signals.select("tenant_id", "signal_id", "first_us", "last_us", "severity_rank")
-    grouped = members.join(facts, ["tenant_id", "signal_id"]).groupBy("tenant_id", "incident_key").agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("severity_rank").alias("_rank"),
-        (F.count(F.lit(1)) % 3).alias("version"),
-    )
-    return grouped.select(
-        "tenant_id", "incident_key", F.lit("OPEN").alias("status"), F.lit("CORRELATED_INCIDENT").alias("incident_type"),
-        "first_us", "last_us", C.severity_name(F.col("_rank")).alias("severity"), F.lit("").alias("title"),
-        F.array().cast("array<string>").alias("anchors"), F.lit(POLICY.rule_version).alias("rule_version"), "version",
-    )
+def _correlated(spark, sf_dir, minutes: int = DAY):
+    return correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(minutes))
 
 
 SIGNAL_COLUMNS = ["tenant_id", "aggregation_key", "signal_id", "first_us", "last_us", "occurrence_count", "severity"]
@@ -321,45 +300,49 @@ def singletons(spark, sf_dir):
 
 @query
 def incidents_assigned(spark, sf_dir):
-    run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(DAY))
+    run = _correlated(spark, sf_dir)
     return run.incidents.select("tenant_id", "incident_key", "incident_type", "first_us", "last_us", "severity", "title",
                                 F.array_join("anchors", ",").alias("anchors"))
 
 
 @query
 def incident_members(spark, sf_dir):
-    run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(DAY))
+    run = _correlated(spark, sf_dir)
     return run.members.select("tenant_id", "signal_id").distinct()
 
 
 @query
 def incident_memberships(spark, sf_dir):
-    run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(DAY))
+    run = _correlated(spark, sf_dir)
     return run.members.select("tenant_id", "incident_key", "signal_id")
 
 
 @query
 def run_counts(spark, sf_dir):
-    run = correlate(alerts(spark, sf_dir), POLICY, model.rules_with_gap(60))
-    return run_metrics(run).select("tenant_id", "alerts_processed", "duplicates_detected", "signals_created", "edges_created")
+    run = _correlated(spark, sf_dir, 60)
+    return run_metrics(run).select("tenant_id", "alerts_processed", "duplicates_detected", "signals_created", "edges_created",
+                                   "incidents_created", "incident_memberships_added")
 
 
 # ---- reports --------------------------------------------------------------------------------------------
 @query
 def incident_rollup(spark, sf_dir):
-    stage, _, members = _grouped(spark, sf_dir)
-    return reports.rollup(members, stage.signals, stage.unique).select(
+    run = _correlated(spark, sf_dir)
+    return reports.rollup(run.members, run.stage.signals, run.stage.unique).select(
         "tenant_id", "incident_key", "signal_count", "evidence_count", F.array_join("sources", ",").alias("sources")
     )
 
 
 @query
 def incident_details(spark, sf_dir):
-    stage, _, members = _grouped(spark, sf_dir)
-    jobs = I.jobs(spark, sf_dir)
-    view = reports.incident_details(_group_incidents(stage, members), members, stage.signals, stage.unique, jobs)
+    """Every incident with the latest of its jobs: the orders numbered like its signals' first alerts."""
+    run = _correlated(spark, sf_dir)
+    firsts = run.stage.signals.select("tenant_id", "signal_id", F.col("anchor_alert_id").cast("bigint").alias("job_id"))
+    orders = I.jobs(spark, sf_dir).drop("tenant_id", "incident_key").withColumn("incident_version", F.col("incident_version") - 1)
+    jobs = run.members.join(firsts, ["tenant_id", "signal_id"]).drop("signal_id").join(orders, "job_id")
+    view = reports.incident_details(run.incidents, run.members, run.stage.signals, run.stage.unique, jobs)
     return view.select("tenant_id", "incident_key", "reference", "title", "severity", "priority", "first_us", "last_us",
-                       "duration", "signal_count", "evidence_count", "investigation_status")
+                       "duration", "signal_count", "evidence_count", "investigation_status", "investigation_stale")
 
 
 @query
@@ -380,27 +363,21 @@ def active_incident_jobs(spark, sf_dir):
 
 @query
 def timeline(spark, sf_dir):
-    stage, _, members = _grouped(spark, sf_dir)
-    return reports.timeline(members, stage.signals, stage.unique)
+    run = _correlated(spark, sf_dir)
+    return reports.timeline(run.members, run.stage.signals, run.stage.unique)
 
 
 @query
 def explanation_edges(spark, sf_dir):
-    _, links, members = _grouped(spark, sf_dir)
-    return reports.explanation_edges(members, links).select(
+    run = _correlated(spark, sf_dir)
+    return reports.explanation_edges(run.members, run.edges).select(
         "tenant_id", "incident_key", "left_signal_id", "right_signal_id", "score", F.array_join("reasons", ",").alias("reasons")
     )
 
 
 @query
 def explanation_anchors(spark, sf_dir):
-    stage, links = _linked(spark, sf_dir)
-    single = incidents.singletons(stage.signals, links, POLICY)
-    named = entities.anchors(stage.linkable).groupBy("tenant_id", "signal_id").agg(F.collect_list("anchor").alias("anchors"))
-    rows = single.join(named, ["tenant_id", "signal_id"], "left").select(
-        "tenant_id", "incident_key", "anchors", F.lit(POLICY.rule_version).alias("rule_version")
-    )
-    return reports.explanation_anchors(rows)
+    return reports.explanation_anchors(_correlated(spark, sf_dir).incidents)
 
 
 @query
@@ -483,8 +460,8 @@ def evidence_top50(spark, sf_dir):
 
 
 def _packages(spark, sf_dir) -> packages.Packages:
-    stage, links, members = _grouped(spark, sf_dir)
-    snap = packages.snapshot(_group_incidents(stage, members), members, stage.signals, links, stage.unique, stage.entities)
+    run = _correlated(spark, sf_dir)
+    snap = packages.snapshot(run.incidents, run.members, run.stage.signals, run.edges, run.stage.unique, run.stage.entities)
     return packages.build_packages(snap, SALT)
 
 

@@ -182,28 +182,28 @@ ORACLES["link_components"] = _COMP + " select * from components"
 # ---- incidents ----------------------------------------------------------------------------------------
 ORACLES["singletons"] = O.through_edges(DAY) + "," + O.SINGLETONS + " select tenant_id, signal_id, incident_key from singles"
 ORACLES["incidents_assigned"] = O.through_incidents(DAY) + """
-select a.tenant_id, incident_key, case act when 'SEED' then 'CORRELATED_INCIDENT' else 'SINGLETON_DETECTION' end as incident_type,
-  epoch_us(a.first_seen) as first_us, epoch_us(a.last_seen) as last_us, a.severity,
-  case act when 'SEED' then 'Correlated Incident ' else 'Critical Detection ' end || substr(incident_key, 1, 8) as title,
+select a.tenant_id, incident_key, incident_type, epoch_us(a.first_seen) as first_us, epoch_us(a.last_seen) as last_us, a.severity, title,
   array_to_string(coalesce(anchors, []), ',') as anchors
 from assigned a left join anchored using (signal_id)"""
 ORACLES["incident_memberships"] = O.through_incidents(DAY) + " select tenant_id, incident_key, signal_id from held"
 ORACLES["incident_members"] = O.through_edges(DAY) + "," + O.MEMBERS + " select * from members"
-ORACLES["run_counts"] = O.through_edges(60) + """
+ORACLES["run_counts"] = O.through_incidents(60) + """
 select tenant_id, (select count(*) from alerts x where x.tenant_id = t.tenant_id) as alerts_processed,
   (select count(*) from arrivals x where x.tenant_id = t.tenant_id and copy_no > 1) as duplicates_detected,
   (select count(*) from signals x where x.tenant_id = t.tenant_id) as signals_created,
-  (select count(*) from edges x where x.tenant_id = t.tenant_id) as edges_created
+  (select count(*) from edges x where x.tenant_id = t.tenant_id) as edges_created,
+  (select count(*) from assigned x where x.tenant_id = t.tenant_id) as incidents_created,
+  (select count(*) from held x where x.tenant_id = t.tenant_id) as incident_memberships_added
 from (select distinct tenant_id from alerts) t"""
 
 # ---- reports --------------------------------------------------------------------------------------------
-_GROUPS = _COMP + """,
-members as (select s.tenant_id, component as incident_key, signal_id from components join signals s using (signal_id)),
+_GROUPS = O.through_incidents(DAY) + """,
+members as (select tenant_id, incident_key, signal_id from held),
 facts as (select m.incident_key, s.* from members m join signals s using (tenant_id, signal_id)),
 grouped as (
-  select tenant_id, incident_key, min(first_seen) as first_seen, max(last_seen) as last_seen, count(*) as signal_count,
-    cast(sum(occurrence_count) as bigint) as evidence_count, ['INFO','LOW','MEDIUM','HIGH','CRITICAL'][max(rank)] as severity
-  from facts group by all)"""
+  select a.tenant_id, a.incident_key, a.first_seen, a.last_seen, a.severity, a.title, count(*) as signal_count,
+    cast(sum(occurrence_count) as bigint) as evidence_count
+  from assigned a join facts f on f.tenant_id = a.tenant_id and f.incident_key = a.incident_key group by all)"""
 _SOURCES = """,
 sources as (
   select tenant_id, incident_key, string_agg(label, ',' order by label) as sources
@@ -223,11 +223,17 @@ def _priority(severity: str) -> str:
 
 
 _SECONDS = "((epoch_us(last_seen) - epoch_us(first_seen)) // 1000000)"
-ORACLES["incident_details"] = _GROUPS + f"""
-select tenant_id, incident_key, 'INC-' || upper(substr(incident_key, 1, 4)) as reference,
-  severity || ' Severity Security Incident' as title, severity, {_priority('severity')} as priority,
+ORACLES["incident_details"] = _GROUPS + f""",
+investigated as (
+  select m.tenant_id, m.incident_key, o_orderkey % 3 as analysed, case when o_orderstatus = 'F' then 'SUCCEEDED'
+      when o_orderstatus = 'O' then 'PENDING' when o_orderkey % 2 = 0 then 'RUNNING' else 'FAILED' end as status,
+    row_number() over (partition by m.tenant_id, m.incident_key order by o_orderdate desc, o_orderkey desc) as n
+  from members m join signals s using (tenant_id, signal_id) join orders on o_orderkey = anchor_id)
+select g.tenant_id, g.incident_key, 'INC-' || upper(substr(g.incident_key, 1, 4)) as reference,
+  title, severity, {_priority('severity')} as priority,
   epoch_us(first_seen) as first_us, epoch_us(last_seen) as last_us, {_duration(_SECONDS)} as duration, signal_count, evidence_count,
-  'NONE' as investigation_status from grouped"""
+  coalesce(status, 'NONE') as investigation_status, coalesce(analysed < 1, false) as investigation_stale
+from grouped g left join investigated i on i.n = 1 and i.tenant_id = g.tenant_id and i.incident_key = g.incident_key"""
 _INCIDENTS = """
 with incidents as (
   select 'tenant_' || (o_custkey % 4) as tenant_id, sha256(cast(o_orderkey as varchar)) as incident_key, o_orderkey,
@@ -263,9 +269,9 @@ ORACLES["explanation_edges"] = _GROUPS + """
 select l.tenant_id, l.incident_key, e.left_signal_id, e.right_signal_id, e.score, e.reasons
 from edges e join members l on l.signal_id = e.left_signal_id join members r on r.signal_id = e.right_signal_id
   and r.incident_key = l.incident_key"""
-ORACLES["explanation_anchors"] = O.through_edges(DAY) + "," + O.SINGLETONS + """
-select s.tenant_id, s.incident_key, 'corr-v2' as rule_version, l.entity_type as type, l.entity_value as value
-from singles s join linkable l using (tenant_id, signal_id) where l.entity_type in ('USER', 'DEVICE', 'HASH')"""
+ORACLES["explanation_anchors"] = O.through_incidents(DAY) + """
+select a.tenant_id, a.incident_key, 'corr-v2' as rule_version, l.entity_type as type, l.entity_value as value
+from assigned a join linkable l using (tenant_id, signal_id) where l.entity_type in ('USER', 'DEVICE', 'HASH')"""
 ORACLES["severity_distribution"] = _INCIDENTS + " select tenant_id, severity, count(*) as incidents from incidents group by all"
 ORACLES["source_distribution"] = "with " + O.ALERTS + " select tenant_id, source_product, count(*) as alerts from alerts group by all"
 _COUNTS = """
@@ -331,7 +337,7 @@ ranked as (
 chosen as (select *, 'EVIDENCE_' || lpad(cast(item_no as varchar), 3, '0') as signal_ref from ranked where item_no <= 50)"""
 ORACLES["package_headers"] = _GROUPS + _CHOSEN + """
 select tenant_id, incident_key,
-  substr(sha256(cast(signal_count % 3 as varchar) || (select string_agg(signal_ref, '' order by item_no) from chosen c
+  substr(sha256('1' || (select string_agg(signal_ref, '' order by item_no) from chosen c
     where c.incident_key = g.incident_key)), 1, 16) as package_fingerprint,
   signal_count > 50 as evidence_truncated, signal_count as total_evidence_count, least(50, signal_count) as selected_evidence_count,
   greatest(0, signal_count - 50) as omitted_count, least(50, signal_count) as evidence_exported, evidence_count as total_raw_telemetry
