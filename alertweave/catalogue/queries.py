@@ -19,7 +19,10 @@ from alertweave.operators import (
 )
 from alertweave.plans import ingest, reports
 from alertweave.plans.correlate import correlate, run_metrics, signal_stage
-from alertweave.session import cut_lineage
+from alertweave.session import cut_lineage, scratch_folder
+from alertweave.streaming.pipeline import (
+    CorrelationStream, Store, dashboard_stream, dedup_stream, edge_stream, read_alert_stream, signal_stream,
+)
 
 POLICY = model.CorrelationPolicy()
 DAY = 1440
@@ -614,3 +617,63 @@ def mixed_packages(spark, sf_dir):
         F.when(part % 3 == 0, I.text(part)).otherwise(F.concat_ws("/", "tenant_id", I.text(part))).alias("package_id"),
     )
     return privacy.sound_packages(mixed).select("id", "package_id")
+
+
+# ---- streams --------------------------------------------------------------------------------------------------
+def _inbox(df: DataFrame) -> DataFrame:
+    """A stream of the files that hold `df`."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return read_alert_stream(spark, path, schema=df.schema)
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has given once it has read all there is."""
+    spark, out = stream.sparkSession, scratch_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch_folder(spark))
+    if mode == "append":
+        query = writer.start(out, format="parquet")
+    else:
+        query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    return _drained(dedup_stream(_inbox(alerts(spark, sf_dir)))).select("tenant_id", "dedup_fingerprint")
+
+
+@query
+def stream_signals(spark, sf_dir):
+    """The signals that the watermark, an hour behind the latest alert, has closed."""
+    unique = _inbox(dedup.first_deliveries(alerts(spark, sf_dir)))
+    return _drained(signal_stream(unique, "1 hour", DAY, model.rules_with_gap(DAY))).select(
+        "tenant_id", "aggregation_key", "first_us", "last_us", "occurrence_count", "severity"
+    )
+
+
+@query
+def stream_edges(spark, sf_dir):
+    stage = _stage(spark, sf_dir, DAY, keep=True)
+    rows = stage.signals.join(entities.entity_sets(stage.linkable), ["tenant_id", "signal_id"]).select(
+        "tenant_id", "signal_id", F.timestamp_micros("first_us").alias("first_seen"),
+        F.timestamp_micros("last_us").alias("last_seen"), "users", "devices", "hashes", "ips",
+    )
+    return _drained(edge_stream(_inbox(rows), delay="60 days", longest="60 days")).select("edge_id", "score")
+
+
+@query
+def stream_dashboard(spark, sf_dir):
+    return _drained(dashboard_stream(_inbox(alerts(spark, sf_dir))), "complete")
+
+
+@query
+def stream_correlation(spark, sf_dir):
+    """Signals after three deliveries out of order in time, each read by a run of its own that goes on where the last one ended."""
+    rows, inbox, state = alerts(spark, sf_dir), scratch_folder(spark), scratch_folder(spark)
+    stream = CorrelationStream(Store(spark, scratch_folder(spark)), rules=model.rules_with_gap(DAY))
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).write.mode("append").parquet(inbox)
+        stream.start(read_alert_stream(spark, inbox, schema=rows.schema), state).awaitTermination()
+    return stream.signals().select("tenant_id", "aggregation_key", "first_us", "last_us", "occurrence_count", "severity")

@@ -513,3 +513,13 @@ ORACLES["mixed_packages"] = "with " + O.ALERTS + """,
 packed as (select id, tenant_id, case when id % 50 % 3 = 0 then cast(id % 50 as varchar) else tenant_id || '/' || (id % 50) end as package_id
   from alerts)
 select id, package_id from packed where package_id in (select package_id from packed group by package_id having count(distinct tenant_id) = 1)"""
+
+# ---- streams --------------------------------------------------------------------------------------------------
+ORACLES["stream_dedup"] = "with " + O.FINGERPRINTED + " select distinct tenant_id, fp as dedup_fingerprint from fingerprinted"
+ORACLES["stream_signals"] = _seen(f"""select tenant_id, aggregation_key, epoch_us(first_seen) as first_us, epoch_us(last_seen) as last_us,
+    occurrence_count, severity from signals
+  where last_seen + to_minutes({DAY}) <= (select max("timestamp") from uniq) - interval 1 hour""", DAY)
+ORACLES["stream_edges"] = O.through_edges(DAY) + " select edge_id, score from edges"
+ORACLES["stream_dashboard"] = "with " + O.ALERTS + """
+select tenant_id, source_product, severity, count(*) as alerts from alerts group by all"""
+ORACLES["stream_correlation"] = ORACLES["signals_session_window"]

@@ -58,6 +58,16 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/alertweave/{spark.sparkContext.applicationId}"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A name for a new folder in the shared checkpoint folder, which goes when the driver ends."""
+    root = _scratch_root(spark)
+    if root not in _announced:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        _announced.add(root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back.
 
@@ -65,15 +75,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     follow still prune columns, push filters down and know its size. The tables go when the
     driver ends.
     """
-    spark = df.sparkSession
-    root = _scratch_root(spark)
-    if root not in _announced:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-        _announced.add(root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:

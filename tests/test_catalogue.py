@@ -13,6 +13,8 @@ QUICK = [
     "late_matches", "signal_entities", "new_entities", "severity_distribution", "source_distribution", "incident_list",
     "active_incident_jobs", "stage_durations", "pipeline_status", "latest_job", "stale_jobs", "job_reuse", "evidence_top50",
     "validate_assessments", "redact_secrets", "withheld_text", "private_addresses", "message_aliases", "mixed_packages",
+    "incidents_assigned", "incident_memberships", "incident_details", "explanation_anchors", "stream_dedup", "stream_signals",
+    "stream_dashboard",
 ]
 
 
