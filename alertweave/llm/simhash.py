@@ -24,26 +24,50 @@ SAMPLE = 16_384
 LEAF = 1_024
 CELL = 8_192
 SHINGLES_AT_ONCE = 1 << 16
+#: The pipeline's stage: word shingles, and the similarity (5 * common >= 4 * all) from which texts are near-duplicates.
+STAGE_WORDS = 5
+SIMILAR = (4, 5)
+#: Shingles in about 64 documents and more come last in the order of shingles; one document in 16 is looked at for them.
+HOT_SAMPLE = 16
+HOT_SEEN = 4
+HOT_BITS = 24
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of one whole text; 0 for null and wordless texts."""
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The digests of all shingles of one whole text, one row of 8 bytes each; no rows for null and wordless texts."""
     # On bytes, lower() turns A-Z only and split() cuts at \x20 and \x09-\x0D only.
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros((0, 8), np.uint8)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(WORDS, len(words))
-    first, last = starts[: len(words) - width + 1], ends[width - 1 :]
-    votes = np.zeros(64, np.int64)
+    width = min(words, len(found))
+    first, last = starts[: len(found) - width + 1], ends[width - 1 :]
     digest = xxhash.xxh64_digest
+    hashes = []
     for at in range(0, len(first), SHINGLES_AT_ONCE):
         a, b = first[at : at + SHINGLES_AT_ONCE].tolist(), last[at : at + SHINGLES_AT_ONCE].tolist()
-        hashes = b"".join([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)])
-        votes += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(first)).tobytes(), "big", signed=True)
+        hashes.append(b"".join([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)]))
+    return np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint that the digests vote for; 0 without any."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        votes += np.unpackbits(hashes[at : at + SHINGLES_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of one whole text; 0 for null and wordless texts."""
+    return majority(shingles(text, words))
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct digests as ascending signed longs."""
+    return np.unique(hashes.reshape(-1).view(np.int64))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -234,12 +258,112 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return marked.join(named, "fp", "left").select("doc_id", digits, "component_id")
 
 
+def _hot(documents: DataFrame, words: int) -> np.ndarray:
+    """A bitmap of 2^HOT_BITS bits over the first bits of the shingles that a sample of the documents shows to be common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingles(text.as_py(), words)))], ["shingle"])
+
+    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text").distinct()
+    often = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= HOT_SEEN)
+    bit = F.shiftrightunsigned("shingle", 64 - HOT_BITS)
+    packed = often.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(shingle, {64 - HOT_BITS}) & 63))")).alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (HOT_BITS - 6), np.uint64)
+    bitmap[packed.word.to_numpy(np.int64)] = packed.bits.to_numpy(np.int64).view(np.uint64)
+    return np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _prefixes(documents: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
+    """(doc_id, fp, sig, n, prefix): n distinct shingles of digest sig; prefix are the first of them, hot ones last."""
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            fp, sig, size, prefix = [], [], [], []
+            for text in batch.column("text"):
+                hashes = shingles(text.as_py(), words)
+                own = shingle_set(hashes)
+                late = common[(own.view(np.uint64) >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
+                # Two sets as similar as SIMILAR share one of these, whatever the order, if it is the same for all.
+                first = len(own) - -(-len(own) * SIMILAR[0] // SIMILAR[1]) + 1 if len(own) else 0
+                fp.append(majority(hashes))
+                sig.append(int.from_bytes(xxhash.xxh64_digest(own.tobytes(), SEED), "big", signed=True))
+                size.append(len(own))
+                prefix.append(np.concatenate([own[~late], own[late]])[:first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "fp", "sig", "n", "prefix"],
+            )
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sig long, n int, prefix array<long>")
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of documents whose shingle sets are as similar as SIMILAR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(shingles(text.as_py(), words)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
+
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi")
+    sets = cut(texts.mapInArrow(run, "id long, own array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("_b")), "b")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return cut(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct())
+
+
+def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """(doc_id, component_id) for every row of `documents` (doc_id, text): texts whose sets of word shingles have Jaccard
+    similarity 0.8 and more are linked, all such pairs and no others; component_id as in near_duplicates.
+
+    Texts of equal sets form one class. SimHash links (4 of 64 bits) are candidates; as 0.8 is about 10 bits, the rest comes
+    from prefixes: in one order of all shingles, of n each text names the first n - ceil(0.8 n) + 1, and similar texts share a
+    named one. Common shingles are last in the order, so few name them. Whoever shares a named shingle first meets one of
+    them, chosen by hash; only those not linked by then meet each other. Every candidate is compared by its whole set; words,
+    null texts and rows without doc_id are as in near_duplicates, and shingles are equal if 64-bit digests are.
+    """
+    settle(documents.sparkSession)
+    marked = cut(_prefixes(documents, words, _hot(documents, words)))
+    classes = cut(marked.where("doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    alike = cut(classes.groupBy("fp").agg(F.min("rep").alias("least")))
+    near = links(alike.select("fp", F.col("least").alias("rep"))).unionByName(classes.join(alike, "fp").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+
+    firsts = marked.join(classes.select("sig", "n", F.col("rep").alias("doc_id")), ["sig", "n", "doc_id"], "left_semi")
+    named = firsts.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "shingle")).distinct()
+    twice = named.groupBy("shingle").count().where("count > 1").select("shingle")
+    met = cut(named.join(twice, "shingle"))
+    centres = met.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "rep").alias("_by"), F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))).alias("_c"))
+
+    # At the first shingle that both name, what follows in either set bounds what they have in common.
+    most = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
+    may = sum(SIMILAR) * most >= SIMILAR[0] * (F.col("n") + F.col("a_n"))
+    starred = met.join(centres.select("shingle", "_c.*"), "shingle").where(may).select("a", F.col("rep").alias("b"))
+    first = _confirmed(near.unionByName(starred), documents, words)
+
+    groups = connected_components(first, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("_to"))
+    placed = cut(met.join(groups, "rep", "left").withColumn("_to", F.coalesce("_to", "rep")))
+    open_ = placed.groupBy("shingle").agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).where("_lo < _hi").select("shingle")
+    left = placed.join(open_, "shingle")
+    right = left.select("shingle", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("_to").alias("a_to"))
+    rest = left.join(right, "shingle").where((F.col("a") < F.col("rep")) & (F.col("a_to") != F.col("_to")) & may).select("a", F.col("rep").alias("b"))
+    every = first.unionByName(_confirmed(rest, documents, words))
+    groups = connected_components(every, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("_least"))
+    least = classes.join(groups, "rep", "left").select("sig", "n", F.coalesce("_least", "rep").alias("component_id"))
+    return marked.select("doc_id", "sig", "n").join(least, ["sig", "n"], "left").select("doc_id", "component_id")
+
+
 def keep_representatives(documents: DataFrame) -> DataFrame:
-    """The rows of `documents` with one document of each group, all columns kept.
+    """The rows of `documents` with one document of each group of similar_texts, all columns kept.
 
     It is the one with the smallest doc_id; of repeated rows with this id the one with the smallest text stays. Rows without doc_id stay.
     """
-    first = near_duplicates(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = similar_texts(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     found = documents.join(first, documents.doc_id == F.col("_first"), "left_semi")
     ordered = found.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return ordered.where("_nth = 1").drop("_nth").unionByName(documents.where("doc_id is null"))

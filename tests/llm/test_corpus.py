@@ -81,6 +81,31 @@ def test_vantage_trees_lose_no_link(spark):
     assert groups(pairs) == groups(zip(*np.nonzero(near), strict=True))
 
 
+def test_similar_texts_equal_brute_force(spark):
+    r = random.Random(8)
+    rows, common = [], prose(500, 14)
+    for k in range(60):
+        words = [f"{r.choice(WORDS)}{r.randrange(40)}" for _ in range(r.choice([5, 30, 120]))]
+        for copy in range(4):
+            rows.append((1000 * copy + k, " ".join([*words, common] if k % 3 else words)))
+            words[r.randrange(len(words))] = f"other{r.randrange(9)}"
+    rows += [(9000 + k, text) for k, text in enumerate([None, "", "a b", "A  b", prose(1, 3), rows[0][1].upper()])]
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    ids = [d for d, _ in rows]
+    least = ids[:]
+    for _ in rows:
+        before = least[:]
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    docs = frame(spark, rows)
+    assert dict(simhash.similar_texts(docs).collect()) == dict(zip(ids, least, strict=True))
+    assert sorted(x.doc_id for x in simhash.keep_representatives(docs).collect()) == sorted(set(least))
+    assert len({x.component_id for x in simhash.near_duplicates(docs).collect()}) > len(set(least))
+
+
 def test_suffixes_equal_brute_force(spark):
     rows = corpus()
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.report(frame(spark, rows)).collect()}
