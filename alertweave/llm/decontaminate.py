@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -52,8 +53,8 @@ def kind(token: str) -> tuple[str, bool]:
 class Canon:
     """Tokens of a text as codes and slot flags.
 
-    A capital letter at the start of a sentence does not tell a name from another word, so there the word counts as it is
-    written small, and as a name everywhere else. What is known of a word is kept until there are too many of them.
+    A capital letter at the start of a sentence does not tell a name from another word, so there a word has two readings: as
+    it is written small, and as a name. What is known of a word is kept until there are too many of them.
     """
 
     def __init__(self) -> None:
@@ -62,27 +63,32 @@ class Canon:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.code = np.zeros(1 << 16, np.uint64)
-        self.plain = np.zeros(1 << 16, np.uint64)
+        self.literal = np.zeros(1 << 16, np.uint64)
+        self.name = np.zeros(1 << 16, bool)
         self.slot = np.zeros(1 << 16, bool)
         self.ends = np.zeros(1 << 16, bool)
 
     def _learn(self, word: str) -> int:
         at = len(self.number)
         if at == len(self.code):
-            for name in ("code", "plain", "slot", "ends"):
+            for name in ("code", "literal", "name", "slot", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         token = word.strip(EDGES)
         if token:
             form, self.slot[at] = kind(token)
             self.code[at] = _code(form)
-            self.plain[at] = _code(token.lower()) if form == "<name>" else self.code[at]
+            self.literal[at] = _code(token.lower())
+            self.name[at] = form == "<name>"
         self.ends[at] = word.rstrip("\"'”’)").endswith((".", "!", "?", ":"))
         self.number[word] = at
         return at
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, code of each, slot flag of each); words of punctuation only are left out."""
+    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, codes, slot flags, flags of words with two readings); words of punctuation only are left out.
+
+        Codes has three rows: words at the start of a sentence read small, all capital words read as names, literal tokens.
+        """
         if len(self.number) > REMEMBERED:
             self._clear()
         words = text.split()
@@ -90,57 +96,73 @@ class Canon:
         if None in found:
             found = [self.number[word] if word in self.number else self._learn(word) for word in words]
         at = np.array(found, np.int64)
-        code, slot, plain = self.code[at], self.slot[at], self.plain[at]
-        opens = np.ones(len(at), bool)
-        opens[1:] = self.ends[at[:-1]]
-        usual = opens & (plain != code)
-        code, slot = np.where(usual, plain, code), slot & ~usual
+        code, literal, slot = self.code[at], self.literal[at], self.slot[at]
+        both = np.ones(len(at), bool)
+        both[1:] = self.ends[at[:-1]]
+        both &= self.name[at]
+        codes = np.stack([np.where(both, literal, code), code, literal])
         kept = code != 0
         if kept.all():
-            return words, code, slot
-        return [word for word, keep in zip(words, kept, strict=True) if keep], code[kept], slot[kept]
-
-
-def window_hashes(code: np.ndarray, slot: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows; those with more slots than words would fit any list of names or figures and are left out."""
-    n = len(code) - width + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.zeros(n, np.uint64)
-    slots = np.zeros(n, np.int64)
-    for k in range(width):
-        value = (value ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            return words, codes, slot, both
+        return [word for word, keep in zip(words, kept, strict=True) if keep], codes[:, kept], slot[kept], both[kept]
+
+
+def window_hashes(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """The hash of every window, for each row of codes."""
+    n = max(0, codes.shape[1] - width + 1)
+    value = np.zeros((len(codes), n), np.uint64)
+    for k in range(width if n else 0):
+        value = (value ^ codes[:, k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         value ^= value >> np.uint64(29)
-        slots += slot[k : k + n]
-    start = np.flatnonzero(2 * slots <= width)
-    return start, value[start] ^ np.uint64(width)
+    return value ^ np.uint64(width)
+
 
+def heavy(slot: np.ndarray, width: int) -> np.ndarray:
+    """Whether a window has more slots than words: its template would fit any list of names or figures, so its literal tokens count."""
+    total = np.concatenate([[0], np.cumsum(slot)])
+    return 2 * (total[width:] - total[:-width]) > width
 
-WINDOWS = "id long, pos int, hash long, width int, windows int, slots array<string>"
+
+#: Keeps hashes of literal windows apart from those of templates.
+LITERAL = np.uint64(0x5851F42D4C957F2D)
+
+WINDOWS = "id long, pos int, hash long, literal boolean, windows int, templates int, width int, slots array<string>"
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of (id, text) rows; a text shorter than a window is one window."""
+    """All windows of (id, text) rows in all readings; a text shorter than a window is one window."""
     canon = Canon()
     for batch in batches:
         out = []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words, code, slot = canon.tokens(text)
-            width = min(WINDOW, len(code))
-            if width >= LEAST:
-                start, value = window_hashes(code, slot, width)
-                out += _described(key, words, slot, start, value, width, len(start))
+            words, codes, slot, both = canon.tokens(text)
+            width = min(WINDOW, len(words))
+            if width < LEAST:
+                continue
+            literal = heavy(slot & ~both, width)
+            counts = len(literal), int((~literal).sum())
+            for at in range(len(literal)):
+                part = codes[:, at : at + width]
+                if literal[at]:
+                    out.append(_described(key, words, slot[:0], at, window_hashes(part[2:], width)[0, 0] ^ LITERAL, True, width, *counts))
+                    continue
+                unsure = np.flatnonzero(both[at : at + width])
+                for names in itertools.product((False, True), repeat=len(unsure)):
+                    named = np.zeros(width, bool)
+                    named[unsure] = names
+                    value = window_hashes(np.where(named, part[1], part[0])[None], width)[0, 0]
+                    out.append(_described(key, words, (slot & ~both)[at : at + width] | named, at, value, False, width, *counts))
         yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
-def _described(key: int, words: list[str], slot: np.ndarray, start: np.ndarray, value: np.ndarray, width: int, total: int) -> list[dict]:
-    return [
-        {"id": key, "pos": at, "hash": h, "width": width, "windows": total, "slots": [words[k].strip(EDGES).lower() for k in range(at, at + width) if slot[k]]}
-        for at, h in zip(start.tolist(), value.view(np.int64).tolist(), strict=True)
-    ]
+def _described(key: int, words: list[str], slot: np.ndarray, at: int, value: np.uint64, literal: bool, width: int, windows: int = 0, templates: int = 0) -> dict:
+    slots = [words[at + k].strip(EDGES).lower() for k in np.flatnonzero(slot).tolist()]
+    return {"id": key, "pos": at, "hash": int(value.view(np.int64)), "literal": literal, "windows": windows, "templates": templates, "width": width, "slots": slots}
 
 
-_ARROW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64()), ("width", pa.int32()), ("windows", pa.int32()), ("slots", pa.list_(pa.string()))])
+_ARROW = pa.schema(
+    [("id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64()), ("literal", pa.bool_()), ("windows", pa.int32()), ("templates", pa.int32()), ("width", pa.int32()), ("slots", pa.list_(pa.string()))]
+)
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +183,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
     Both are read as whole texts. Tokens are runs between white space without outer punctuation, lower-cased; numbers, units
     and names turn into slots. An item is cut into its windows of 8 tokens; one of 4 to 7 tokens is a single window, a
-    shorter one matches nothing. A document holds an item if it has at least `share` of these windows with consistent slots:
+    shorter one matches nothing. A window with more slots than words is met by its literal tokens. A document holds an item
+    if it has at least `share` of these windows, or of those that are met as templates, with consistent slots:
     along aligned windows each of the item's slot values always stands for the same value of the document and the other way
     round. `exact` tells whether all are the item's own values.
 
@@ -185,34 +208,51 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
         for batch in batches:
             out = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                words, code, slot = canon.tokens(text.as_py())
+                words, codes, slot, both = canon.tokens(text.as_py())
+                small = slot & ~both
                 for width in widths:
-                    start, value = window_hashes(code, slot, width)
+                    if width > len(words):
+                        continue
+                    value = window_hashes(codes, width)
+                    value[2] ^= LITERAL
                     hit = wanted[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    if hit.any():
-                        out += _described(key, words, slot, start[hit], value[hit], width, 0)
+                    # Words with two readings may be slots in the item, so they count as slots here.
+                    hit[2] &= heavy(slot, width)
+                    for row, flags in ((0, small), (2, slot[:0])):
+                        for at in np.flatnonzero(hit[row]).tolist():
+                            out.append(_described(key, words, flags[at : at + width], at, value[row, at], row == 2, width))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     there = rows.mapInArrow(look, WINDOWS).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
-    wanted = cut_items.select(F.col("id").alias("item_id"), "pos", "hash", "windows", "slots")
+    wanted = cut_items.select(F.col("id").alias("item_id"), "pos", "hash", "literal", "windows", "templates", "slots")
     met = there.join(wanted, "hash").where(F.size("slots") == F.size("doc_slots"))
+    # Of the readings of a window that meet, the one with the fewest slots.
+    pairs = F.arrays_zip("slots", "doc_slots")
+    once = met.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift"), "pos").agg(
+        F.max("windows").alias("windows"), F.max("templates").alias("templates"), F.max("literal").alias("literal"), F.min(F.struct(F.size(pairs).alias("n"), pairs.alias("pairs"))).alias("_p")
+    )
     # Along a diagonal there is one window for each of the item's, so the sets below are as small as the item.
-    runs = met.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
+    runs = once.groupBy("doc_id", "item_id", "shift").agg(
         F.max("windows").alias("windows"),
+        F.max("templates").alias("templates"),
         F.collect_set("pos").alias("pos"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "doc_slots")))).alias("pairs"),
+        F.collect_set(F.when(~F.col("literal"), F.col("pos"))).alias("template_pos"),
+        F.array_distinct(F.flatten(F.collect_set("_p.pairs"))).alias("pairs"),
     )
     ours = F.size(F.array_distinct(F.col("pairs.slots")))
     theirs = F.size(F.array_distinct(F.col("pairs.doc_slots")))
     consistent = runs.where((ours == F.size("pairs")) & (theirs == F.size("pairs")))
     held = consistent.groupBy("doc_id", "item_id").agg(
         F.max("windows").alias("windows"),
+        F.max("templates").alias("templates"),
         F.size(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("found"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("template_pos")))).alias("found_templates"),
         F.min(F.forall("pairs", lambda p: p["slots"] == p["doc_slots"])).alias("exact"),
     )
-    return held.where(F.col("found") >= F.greatest(F.lit(1), F.ceil(share * F.col("windows"))))
+    enough = lambda found, of: F.col(found) >= F.greatest(F.lit(1), F.ceil(share * F.col(of)))
+    return held.where(enough("found", "windows") | enough("found_templates", "templates")).drop("templates", "found_templates")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -180,6 +180,15 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [(r.doc_id, r.exact) for r in got.collect()] == [(1, False)]
 
 
+def test_slot_heavy_items_and_first_words_are_found(spark):
+    figures, names, short = "12 + 7 = 19, 3 + 4 = 7, 8 + 9 = 17", "Anna Bell, Carl Dorn, Emma Falk, Gert Horn and Ida Jung", "Seven birds sing above fields"
+    rows = [(k, f"{prose(k)} {item} {prose(k + 50)}") for k, item in enumerate((figures, names, short, figures.replace("7", "6"), names.replace("Carl", "Otto")))]
+    bench = spark.createDataFrame([(0, figures), (1, names), (2, short)], "item_id long, text string")
+    got = decontaminate.matches(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(0, 0), (1, 1), (2, 2)} and all(r.item_id == r.doc_id for r in got if r.doc_id < 3)
+    assert {r.doc_id: r.exact for r in got}[0] and (3, 0) not in {(r.doc_id, r.item_id) for r in got}
+
+
 def test_packing_is_whole_and_gapless(spark):
     path = public_tokenizers.path(packing.TOKENIZER)
     odd = ["don't \x1c   <|endoftext|> İ ΟΔΟΣ ﬁ 12½!!? ..x", "a'b's 's it's.'ll", None, "", prose(7, 9000)]
