@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ SHARE = 0.5
 LEAST = 4
 FILTER_BITS = 24
 REMEMBERED = 300_000
+#: Steps of the search for the mapping with the most windows; a run with so many contradictions counts with the best found by then.
+STEPS = 100_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds "
@@ -178,6 +181,50 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(packed.view(np.int64), pa.int64())], ["word", "bits"])
 
 
+def largest_consistent(windows: list[tuple[int, frozenset]]) -> list[tuple[int, frozenset]]:
+    """The most windows (pos, pairs of slot values) under one mapping, in which a value of either side stands for one of the other."""
+    best: list[tuple[int, frozenset]] = []
+    steps = 0
+
+    def search(left: list[tuple[int, frozenset]]) -> None:
+        nonlocal best, steps
+        steps += 1
+        if len(left) <= len(best) or steps > STEPS:
+            return
+        count = Counter(pair for _, pairs in left for pair in pairs)
+        ours, theirs = Counter(a for a, _ in count), Counter(b for _, b in count)
+        contested = [pair for pair in count if ours[pair[0]] > 1 or theirs[pair[1]] > 1]
+        if not contested:
+            best = left
+            return
+        pick = max(contested, key=lambda pair: (count[pair], pair))
+        search([w for w in left if not any((a == pick[0]) != (b == pick[1]) for a, b in w[1])])
+        search([w for w in left if pick not in w[1]])
+
+    search(windows)
+    return best
+
+
+RUNS = "doc_id long, item_id long, windows int, templates int, pos array<int>, template_pos array<int>, exact boolean"
+_RUNS = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int32()), ("templates", pa.int32()), ("pos", pa.list_(pa.int32())), ("template_pos", pa.list_(pa.int32())), ("exact", pa.bool_())]
+)
+
+
+def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs along a diagonal with their largest consistent part; exact if nothing is left out and every value is the item's own."""
+    for batch in batches:
+        out = []
+        for run in batch.to_pylist():
+            met = sorted((w["pos"], frozenset((p["slots"], p["doc_slots"]) for p in w["pairs"])) for w in run["met"])
+            held = largest_consistent(met)
+            literal = {w["pos"] for w in run["met"] if w["literal"]}
+            pos = [at for at, _ in held]
+            own = len(held) == len(met) and all(a == b for _, pairs in held for a, b in pairs)
+            out.append({k: run[k] for k in ("doc_id", "item_id", "windows", "templates")} | {"pos": pos, "template_pos": [at for at in pos if at not in literal], "exact": own})
+        yield pa.RecordBatch.from_pylist(out, schema=_RUNS)
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, windows, found, exact) for each benchmark item (item_id, text) found in a document (doc_id, text).
 
@@ -186,7 +233,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     shorter one matches nothing. A window with more slots than words is met by its literal tokens. A document holds an item
     if it has at least `share` of these windows, or of those that are met as templates, with consistent slots:
     along aligned windows each of the item's slot values always stands for the same value of the document and the other way
-    round. `exact` tells whether all are the item's own values.
+    round; along a diagonal the mapping with the most windows counts, and windows that contradict it are dropped. `exact` tells
+    whether none was dropped and all are the item's own values.
 
     Null and empty texts have no windows and match nothing, nor do rows without an id. Repeated rows count once; an empty
     table on either side gives no rows; other columns are not read. A task sends on the document windows that a bitmap of
@@ -218,7 +266,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
                     hit = wanted[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
                     # Words with two readings may be slots in the item, so they count as slots here.
                     hit[2] &= heavy(slot, width)
-                    for row, flags in ((0, small), (2, slot[:0])):
+                    # Where nothing has two readings the names' row repeats the first.
+                    hit[1] &= value[1] != value[0]
+                    for row, flags in ((0, small), (1, slot), (2, slot[:0])):
                         for at in np.flatnonzero(hit[row]).tolist():
                             out.append(_described(key, words, flags[at : at + width], at, value[row, at], row == 2, width))
             if out:
@@ -237,19 +287,15 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     runs = once.groupBy("doc_id", "item_id", "shift").agg(
         F.max("windows").alias("windows"),
         F.max("templates").alias("templates"),
-        F.collect_set("pos").alias("pos"),
-        F.collect_set(F.when(~F.col("literal"), F.col("pos"))).alias("template_pos"),
-        F.array_distinct(F.flatten(F.collect_set("_p.pairs"))).alias("pairs"),
+        F.collect_list(F.struct("pos", "literal", "_p.pairs")).alias("met"),
     )
-    ours = F.size(F.array_distinct(F.col("pairs.slots")))
-    theirs = F.size(F.array_distinct(F.col("pairs.doc_slots")))
-    consistent = runs.where((ours == F.size("pairs")) & (theirs == F.size("pairs")))
+    consistent = runs.drop("shift").mapInArrow(_consistent, RUNS).where(F.size("pos") > 0)
     held = consistent.groupBy("doc_id", "item_id").agg(
         F.max("windows").alias("windows"),
         F.max("templates").alias("templates"),
         F.size(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("found"),
         F.size(F.array_distinct(F.flatten(F.collect_set("template_pos")))).alias("found_templates"),
-        F.min(F.forall("pairs", lambda p: p["slots"] == p["doc_slots"])).alias("exact"),
+        F.min("exact").alias("exact"),
     )
     enough = lambda found, of: F.col(found) >= F.greatest(F.lit(1), F.ceil(share * F.col(of)))
     return held.where(enough("found", "windows") | enough("found_templates", "templates")).drop("templates", "found_templates")

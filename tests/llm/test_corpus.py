@@ -189,6 +189,30 @@ def test_slot_heavy_items_and_first_words_are_found(spark):
     assert {r.doc_id: r.exact for r in got}[0] and (3, 0) not in {(r.doc_id, r.item_id) for r in got}
 
 
+def test_one_conflict_drops_its_windows_only(spark):
+    item = "Then put 5 stones in a box near the river and walk home over many quiet fields until 5 birds sing"
+    tom = "Tom has 5 apples. Tom gives 2 apples to Mary. How many apples does Tom have?"
+    both = "take 8 of the green stones from under the bridge near the town and leave 3 birds there"
+    rows = [(1, item.replace("until 5", "until 6")), (2, tom.replace("Tom", "Bob")), (3, "so we read: " + tom.replace("Tom", "Bob").replace("5", "7")), (4, both.replace("8", "9").replace("3", "9")), (5, item)]
+    bench = spark.createDataFrame([(1, item), (2, tom), (3, both)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.matches(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 2): False, (4, 3): False, (5, 1): True}
+
+
+def test_largest_consistent_equals_brute_force():
+    r = random.Random(4)
+    for _ in range(60):
+        windows = [(k, frozenset((r.choice("abc"), r.choice("xyz")) for _ in range(r.randrange(4)))) for k in range(9)]
+        best = 0
+        for chosen in range(1 << 9):
+            pairs = set().union(*(w for k, w in windows if chosen >> k & 1))
+            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                best = max(best, chosen.bit_count())
+        held = decontaminate.largest_consistent(windows)
+        pairs = set().union(*(w for _, w in held))
+        assert len(held) == best and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
 def test_packing_is_whole_and_gapless(spark):
     path = public_tokenizers.path(packing.TOKENIZER)
     odd = ["don't \x1c   <|endoftext|> İ ΟΔΟΣ ﬁ 12½!!? ..x", "a'b's 's it's.'ll", None, "", prose(7, 9000)]
