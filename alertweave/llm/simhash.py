@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ SIMILAR = (4, 5)
 HOT_SAMPLE = 16
 HOT_SEEN = 4
 HOT_BITS = 24
+#: Candidates are confirmed in so many turns, so that the sets of only a part are on disk at once.
+SLICES = 4
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -310,12 +313,16 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
 
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi")
-    sets = cut(texts.mapInArrow(run, "id long, own array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("_b")), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return cut(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct())
+    found = []
+    for part in range(SLICES):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == part)
+        named = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi")
+        sets = texts.mapInArrow(run, "id long, own array<long>")
+        both = some.join(sets.select(F.col("id").alias("a"), F.col("own").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("_b")), "b")
+        common = F.size(F.array_intersect("_a", "_b"))
+        found.append(cut(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()))
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
@@ -335,7 +342,7 @@ def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     near = links(alike.select("fp", F.col("least").alias("rep"))).unionByName(classes.join(alike, "fp").select(F.col("rep").alias("a"), F.col("least").alias("b")))
 
     firsts = marked.join(classes.select("sig", "n", F.col("rep").alias("doc_id")), ["sig", "n", "doc_id"], "left_semi")
-    named = firsts.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "shingle")).distinct()
+    named = firsts.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "shingle"))
     twice = named.groupBy("shingle").count().where("count > 1").select("shingle")
     met = cut(named.join(twice, "shingle"))
     centres = met.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "rep").alias("_by"), F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))).alias("_c"))
