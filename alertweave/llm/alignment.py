@@ -32,7 +32,7 @@ TOKENIZER_B = "piece_bpe_32k.model"
 ENCODED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, regular array<int>, irregular array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Characters encoded and cut into groups at a time; a longer text is one piece.
-CHARS = 2_000_000
+CHARS = 500_000
 
 
 class Vocabularies:
@@ -229,7 +229,7 @@ def align(documents: DataFrame, ranks: str, pattern: str, pieces: str) -> DataFr
     A group ends wherever tokens of both sides end; its link is the pair of its last tokens. Null and empty texts, and texts
     whose tokens do not spell space + text on both sides, have zeros and ''. A null doc_id stays null, repeated rows and ids
     are documents of their own and count each time, an empty table gives no rows, other columns are not read. A text is
-    encoded as a whole by one task, whatever its length; others are taken together up to 2 million characters.
+    encoded as a whole by one task, whatever its length; others are taken together up to half a million characters.
     """
     spark = documents.sparkSession
     settle(spark)

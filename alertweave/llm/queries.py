@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import alignment, ann, decontaminate, html, language, packing, quality, simhash, suffixes, urls, warc
+from alertweave.llm import alignment, ann, decontaminate, html, language, packing, pitman, quality, runs, simhash, suffixes, urls, warc
 from alertweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,16 @@ def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return runs.digests(runs.detect(table(spark, sf_dir, "documents"), planted=True))
+
+
+@query
+def op12_pitman_yor(spark, sf_dir):
+    return pitman.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_alignment(spark, sf_dir):
     files = public_tokenizers.path(alignment.RANKS_A), public_tokenizers.PATTERN, public_tokenizers.path(alignment.TOKENIZER_B)
