@@ -188,7 +188,7 @@ def kept_candidates(profile: DataFrame, linkable: DataFrame, policy: model.Corre
 
 
 def candidate_stats(profile: DataFrame, linkable: DataFrame, policy: model.CorrelationPolicy) -> DataFrame:
-    """Per tenant: the largest candidate set of a signal, and whether any entity reached the limit."""
+    """Per tenant: the largest candidate set of a signal, the rows found for all, and whether any entity reached the limit."""
     rows = cut_lineage(_directed(profile, linkable, policy, True))
     per_entity = rows.groupBy(*ENTITY, "a_signal_id").agg(F.count(F.lit(1)).alias("_n"))
     per_signal = rows.select("tenant_id", "a_signal_id", "b_signal_id").distinct().groupBy("tenant_id", "a_signal_id").count()
@@ -197,7 +197,7 @@ def candidate_stats(profile: DataFrame, linkable: DataFrame, policy: model.Corre
     return (
         per_signal.groupBy("tenant_id").agg(F.max("count").alias("max_candidate_set_size"))
         .join(
-            per_entity.groupBy("tenant_id").agg(truncated.alias("candidate_set_truncated")),
+            per_entity.groupBy("tenant_id").agg(truncated.alias("candidate_set_truncated"), F.sum("_n").alias("candidate_rows_evaluated")),
             "tenant_id",
         )
     )
