@@ -60,11 +60,6 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank > 0, F.element_at(F.array(*map(F.lit, model.SEVERITIES)), F.greatest(rank, F.lit(1))))
 
 
-def max_severity(left: Column, right: Column) -> Column:
-    """The graver of two severities; a tie keeps the left one."""
-    return F.when(severity_rank(left) >= severity_rank(right), left).otherwise(right)
-
-
 def duration_text(first_us: Column, last_us: Column) -> Column:
     seconds = F.greatest(F.lit(0), F.floor((last_us - first_us) / 1_000_000))
     minutes = F.floor(seconds / 60)
@@ -127,8 +122,3 @@ def fingerprint(tenant: Column, source_type: Column, vendor: Column, product: Co
 def payload_hash(payload: Column) -> Column:
     """SHA-256 of the payload with object keys sorted at every level; null for invalid JSON."""
     return F.sha2(F.to_json(F.try_parse_json(payload)), 256)
-
-
-def set_text(c: Column) -> Column:
-    """A set of strings as one sorted, comma-joined text."""
-    return F.array_join(F.array_sort(c), ",")

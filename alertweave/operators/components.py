@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from alertweave.operators.hot import join_in_place
 from alertweave.session import cut_lineage
 
 
@@ -16,17 +17,17 @@ def _stored(stars: DataFrame) -> tuple[DataFrame, dict]:
     return stored, seen.get
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, total: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = pairs.unionByName(pairs.select(F.col("to").alias("v"), F.col("v").alias("to")))
-    least = both.groupBy("v").agg(F.least(F.min("to"), F.col("v")).alias("_least"))
-    return both.join(least, "v").where("to > v").select(F.col("to").alias("v"), F.col("_least").alias("to")).distinct()
+    least = both.groupBy("v").agg(F.least(F.min("to"), F.col("v")).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    return join_in_place(both, least, ["v"], 2 * total).where("to > v").select(F.col("to").alias("v"), F.col("_least").alias("to")).distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, total: int) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest of them."""
-    least = pairs.groupBy("v").agg(F.min("to").alias("_least"))
-    moved = pairs.join(least, "v").where("to <> _least").select(F.col("to").alias("v"), F.col("_least").alias("to"))
+    least = pairs.groupBy("v").agg(F.min("to").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    moved = join_in_place(pairs, least, ["v"], total).where("to <> _least").select(F.col("to").alias("v"), F.col("_least").alias("to"))
     own = least.select("v", F.col("_least").alias("to"))
     return moved.unionByName(own).distinct()
 
@@ -34,19 +35,18 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "left_signal_id", dst: str = "right_signal_id") -> DataFrame:
     """(signal_id, component): component is the smallest signal id it holds.
 
-    Neighbour lists are never gathered: each step is a minimum (combined before the shuffle)
-    and a join that adaptive execution may split for hubs. Lineage is cut after every round;
-    the number of rounds grows with the logarithm of the component size.
+    Neighbour lists are never gathered: each step is a minimum (combined before the shuffle) and a join for which the rows of
+    hubs are not moved. Lineage is cut after every round; the number of rounds grows with the logarithm of the component size.
     """
-    stars = (
+    stars, state = _stored(
         edges.where(F.col(src) != F.col(dst))
         .select(F.greatest(src, dst).alias("v"), F.least(src, dst).alias("to"))
         .distinct()
     )
-    state = None
-    while True:
-        stars, after = _stored(_small_star(_large_star(stars)))
-        if after == state or after["rows"] == 0:
+    while state["rows"]:
+        # The large star has at most twice as many rows as before; the exact number is not known yet.
+        stars, after = _stored(_small_star(_large_star(stars, state["rows"]), 2 * state["rows"]))
+        if after == state:
             break
         state = after
     roots = stars.select(F.col("to").alias("signal_id"), F.col("to").alias("component")).distinct()

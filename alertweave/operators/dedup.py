@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from alertweave import model
 from alertweave.functions import columns as C
+from alertweave.operators.hot import join_in_place
+from alertweave.session import cut_lineage
 
 
 def with_fingerprint(alerts: DataFrame) -> DataFrame:
@@ -55,18 +57,21 @@ def mark_duplicates(alerts: DataFrame, history: DataFrame | None = None) -> Data
     firsts = (
         tagged.where("dedup_fingerprint is not null")
         .groupBy("tenant_id", "dedup_fingerprint")
-        .agg(F.min(arrival()).alias("_first"))
-        .select("tenant_id", "dedup_fingerprint", F.col("_first.id").alias("_first_id"))
+        .agg(F.min(arrival()).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select("tenant_id", "dedup_fingerprint", F.col("_first.id").alias("_first_id"), "_n")
     )
+    # One row per fingerprint, read for its size and for the join.
+    firsts = cut_lineage(firsts)
+    total = firsts.agg(F.sum("_n")).first()[0] or 0
     if history is not None:
         known = (
             history.groupBy("tenant_id", "dedup_fingerprint").agg(F.min("id").alias("_known_id"))
         )
         firsts = firsts.join(known, ["tenant_id", "dedup_fingerprint"], "left").select(
-            "tenant_id", "dedup_fingerprint", F.coalesce("_known_id", "_first_id").alias("_first_id")
+            "tenant_id", "dedup_fingerprint", F.coalesce("_known_id", "_first_id").alias("_first_id"), "_n"
         )
     # Rows without a fingerprint repeat nothing; in the join they would all meet.
-    named = tagged.where("dedup_fingerprint is not null").join(firsts, ["tenant_id", "dedup_fingerprint"], "left")
+    named = join_in_place(tagged.where("dedup_fingerprint is not null"), firsts, ["tenant_id", "dedup_fingerprint"], total)
     return (
         named.unionByName(tagged.where("dedup_fingerprint is null"), allowMissingColumns=True)
         .withColumn("duplicate_of_alert_id", F.when(F.col("_first_id") != F.col("id"), F.col("_first_id")))

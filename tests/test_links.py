@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertweave import model
-from alertweave.operators import candidates, components, edges, entities
+from alertweave.operators import candidates, components, edges, entities, hot, link_classes
 
 HOUR = 3_600_000_000
 
@@ -105,6 +105,55 @@ def test_dense_entity_keeps_the_most_recent(spark):
     assert rows["s0000"] == (1000, "s0005")
 
 
+@pytest.mark.parametrize(("n", "devices", "spread", "long", "cell"), [(120, 8, 30, False, 300), (150, 1, 9, False, 300), (120, 2, 20, True, 300), (100, 1, 0, False, 60), (90, 2, 4, True, 3000)])
+def test_class_links_equal_brute_force(spark, n, devices, spread, long, cell):
+    """Counts by class and score, and the pairs behind them, against all pairs; few values, so that classes are large."""
+    policy = model.CorrelationPolicy()
+    signals, ents = make(n + devices, n, devices, spread, users=2, long=long)
+    ents = [e for e in ents if e[2] != "IP"] + [("t", sid, "DEVICE", f"own-{sid}") for _, sid, _, _ in signals]
+    s, e = frames(spark, signals, ents)
+    found = link_classes.class_links(s, e, policy, cell_us=cell * 1_000_000)
+    want = brute_scores(signals, ents, policy)
+    rows = found.links.collect()
+    assert sum(r.n_links for r in rows) == len(want)
+    pairs = link_classes.expand(found, found.links, policy).collect()
+    assert len(pairs) == len(want) and {(r.left_signal_id, r.right_signal_id): r.score for r in pairs} == want
+    of = {r.signal_id: r.class_id for r in found.members.collect()}
+    assert all(of[r.class_id] == r.class_id for r in found.classes.collect())
+    counts = {}
+    for (a, b), score in want.items():
+        key = (*sorted((of[a], of[b])), score)
+        counts[key] = counts.get(key, 0) + 1
+    assert {(r.left_class_id, r.right_class_id, r.score): r.n_links for r in rows} == counts
+    best = {(r.left_signal_id, r.right_signal_id): set(r.reasons) for r in edges.scored_pairs(candidates.profiles(s, e), e, policy, 50).collect()}
+    kept = link_classes.class_links(s, e, policy, 50, cell * 1_000_000)
+    assert {(r.left_signal_id, r.right_signal_id): set(r.reasons) for r in link_classes.expand(kept, kept.links, policy).collect()} == best
+
+
+def test_class_links_of_wide_signals(spark, monkeypatch):
+    policy = model.CorrelationPolicy()
+    signals, ents = make(3, 60, 4, 6)
+    s, e = frames(spark, signals, ents)
+    want = brute_scores(signals, ents, policy)
+    monkeypatch.setattr(entities, "ARRAY_LIMIT", 2)
+    found = link_classes.class_links(s, e, policy)
+    assert {(r.left_signal_id, r.right_signal_id): r.score for r in link_classes.expand(found, found.links, policy).collect()} == want
+
+
+def test_crowded_entity_in_one_window(spark):
+    """100 000 signals share one hash within two hours, and nobody's device: 5 billion pairs, a few hundred rows."""
+    n = 100_000
+    s = spark.range(0, n, 1, 8).selectExpr("'t' as tenant_id", "format_string('s%06d', id) as signal_id", "id * 72000 as first_us", "id * 72000 as last_us")
+    e = s.selectExpr("tenant_id", "signal_id", "'HASH' as entity_type", "'h' as entity_value").unionByName(
+        s.selectExpr("tenant_id", "signal_id", "'DEVICE' as entity_type", "signal_id as entity_value"))
+    found = link_classes.class_links(s, e, model.CorrelationPolicy())
+    links = found.links.groupBy("score").agg(F.sum("n_links").alias("n"), F.count(F.lit(1)).alias("rows"))
+    near, far = 300_000_000 // 72_000, 3_600_000_000 // 72_000
+    within = lambda d: d * n - d * (d + 1) // 2
+    assert {r.score: r.n for r in links.collect()} == {65: within(near), 55: within(far) - within(near), 50: n * (n - 1) // 2 - within(far)}
+    assert found.classes.count() == 24 and found.links.count() < 1000
+
+
 def test_wide_signals_score_like_narrow_ones(spark, monkeypatch):
     policy = model.CorrelationPolicy()
     signals, ents = make(3, 60, 4, 6)
@@ -153,6 +202,34 @@ def test_components(spark, shape):
     assert got == brute_components(pairs)
 
 
+@pytest.mark.parametrize("shape", ["random", "star", "two stars"])
+def test_components_with_hubs_left_in_place(spark, monkeypatch, shape):
+    monkeypatch.setattr(hot, "HOT_ROWS", 3)
+    monkeypatch.setattr(hot, "HOT_KEYS", 20)
+    rng = random.Random(6)
+    ids = [f"n{rng.randrange(10**6):06d}" for _ in range(150)]
+    pairs = {
+        "random": [tuple(sorted(rng.sample(ids, 2))) for _ in range(110)],
+        "star": [(ids[0], i) for i in ids[1:]],
+        "two stars": [(ids[k % 2], i) for k, i in enumerate(ids[2:100])] + [(ids[50], ids[51]), (ids[120], ids[121])],
+    }[shape]
+    df = spark.createDataFrame(pairs, "left_signal_id string, right_signal_id string")
+    got = {r.signal_id: r.component for r in components.connected_components(df).collect()}
+    assert got == brute_components(pairs)
+
+
+def test_rows_of_a_hub_are_not_gathered(spark):
+    """Half of 80 000 rows belong to one vertex: after the join no task holds much more than the others."""
+    rows = spark.range(0, 80_000, 1, 8).selectExpr("if(id % 2 = 0, 'hub', concat('v', id)) as v", "concat('w', id) as to")
+    least = rows.groupBy("v").agg(F.min("to").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    joined = hot.join_in_place(rows, least, ["v"], 80_000)
+    assert joined.count() == 80_000 and joined.where("v = 'hub'").select("_least").distinct().count() == 1
+    held = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 0.35 * 80_000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan
+
+
 def test_no_candidate_limit_by_default(spark):
     signals = [("t", f"s{i:04d}", i * 1_000_000, i * 1_000_000) for i in range(1005)]
     s, e = frames(spark, signals, [("t", sid, "HASH", "h") for _, sid, _, _ in signals])
