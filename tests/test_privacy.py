@@ -88,6 +88,44 @@ def test_leak_scan_reads_inside_words(spark):
     assert sorted(r.evidence_ref for r in privacy.leaks(package).collect()) == ["EVIDENCE_002", "EVIDENCE_003", "EVIDENCE_004"]
 
 
+def test_leak_scan_finds_values_wherever_they_stand(spark):
+    """Against a plain containment test: values with spaces, in longer words, that begin alike, shorter than others' beginnings."""
+    users = ["dana reed", "box-7", "box", "a", "naïve.user-with-a-long-name@example.org", "naïve.user-with-a-long-tail", "x\U0001f600y"]
+    texts = ["asked dana reed", "dana  reed", "xbox-7y", "bo x", "naïve.user-with-a-long", "NAÏVE.USER-WITH-A-LONG-TAIL!", "q\U0001f600y", "wx\U0001f600yz", "zzz", ""]
+    rows = [row("p", k + 1, user=u) for k, u in enumerate(users)] + [row("p", 100 + k) for k in range(len(texts))] + [row("q", k, user="zzz") for k in (1, 2)]
+    package = privacy.process(spark.createDataFrame(rows, COLUMNS))
+    told = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("item_no") - 99).cast("int"))
+    package.items = package.items.withColumn("message", F.when(F.col("item_no") >= 100, told))
+    want = sorted(f"EVIDENCE_{100 + k}" for k, t in enumerate(texts) if any(u.lower() in t.lower() for u in users))
+    assert 4 < len(want) < len(texts)
+    assert sorted(r.evidence_ref for r in privacy.leaks(package).collect()) == want
+
+
+def test_numbering_of_sparse_and_textual_orders(spark):
+    rows = [(p, f"{k * 7919 % 3001:08x}-{k % 3}", k * k * 1_000_003) for p, n in (("p", 3000), ("q", 40), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, "package_id string, id string, far long").repartition(8)
+    for order in ("id", "far"):
+        got = privacy.number_items(df, order)
+        assert got.columns == [*df.columns, "item_no"]
+        by_package = {}
+        for r in got.collect():
+            by_package.setdefault(r.package_id, []).append((r.item_no, r[order]))
+        for p, n in (("p", 3000), ("q", 40), (None, 5)):
+            placed = sorted(by_package[p])
+            assert [x[0] for x in placed] == list(range(1, n + 1))
+            assert [x[1] for x in placed] == sorted(x[1] for x in placed)
+
+
+def test_numbering_deals_a_large_group_out(spark):
+    from alertweave.operators.numbering import number_within
+
+    df = spark.range(200_000).select(F.lit("p").alias("package_id"), F.sha1(F.col("id").cast("string")).alias("uuid"))
+    got = number_within(df, ["package_id"], ["uuid"], "n").withColumn("part", F.spark_partition_id())
+    assert got.agg(F.countDistinct("n"), F.max("n")).first() == (200_000, 200_000)
+    sizes = [r["count"] for r in df.repartitionByRange(4, "package_id", "uuid").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
 def test_numbering_over_blocks(spark):
     df = spark.range(20_000).select(F.lit("p").alias("package_id"), (F.col("id") * 3).alias("k"))
     got = privacy.number_items(df, "k").select((F.col("item_no") - 1) * 3 == F.col("k")).distinct().collect()
