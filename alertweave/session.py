@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sessions are merged where they are read, so that a hot key sends one row per task and session.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -34,6 +37,31 @@ def build_session(app: str = "alertweave", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+class Scratch:
+    """The scratch folders this thread makes inside the `with` block, so that they can be deleted once nobody reads them."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = getattr(_open, "scratch", None)
+        _open.scratch = self
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.scratch = self._outer
+
+    def drop(self, spark: SparkSession) -> None:
+        for folder in self.folders:
+            delete_folder(spark, folder)
+        self.folders.clear()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder: the cluster's own, or a scratch one in local mode."""
     context = spark.sparkContext
@@ -52,6 +80,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _announced: set[str] = set()
+_open = threading.local()
 
 
 def _scratch_root(spark: SparkSession) -> str:
@@ -65,7 +94,10 @@ def scratch_folder(spark: SparkSession) -> str:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
         _announced.add(root)
-    return f"{root}/{uuid.uuid4().hex}"
+    folder = f"{root}/{uuid.uuid4().hex}"
+    if scratch := getattr(_open, "scratch", None):
+        scratch.folders.append(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -82,9 +114,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables this application cut its lineage with, once its results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, _scratch_root(spark))
 
 
 def no_rows(spark: SparkSession, schema) -> DataFrame:

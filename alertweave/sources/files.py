@@ -1,26 +1,48 @@
 """Uploaded alert files: format detection, the import gate, and JSON, JSON Lines and CSV readers.
 
-A reader gives two tables: `files`, one row per file with its format and what is wrong with
-it, and `records`, one row per event with its payload as JSON text. A file that does not
-parse gives no records at all. The gate keeps files small (50 MB), so a file is read whole by
-one task; files are spread over the cluster.
+A reader gives two tables: `verdicts`, what is wrong with each file, and `records`, one row per event with its payload as JSON
+text. A file that does not parse gives no records at all. JSON Lines files are read by splits, many tasks to a file; the other formats
+have no place where a reader could start in the middle, so such a file is read whole by one task, after the gate
+(50 MB) has looked at its size. Files are spread over the cluster.
 """
 
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable
+import io
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alertweave import model
-from alertweave.session import no_rows
+from alertweave.session import cut_lineage, no_rows
 
 PREVIEW_BYTES = 1024
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RECORDS = "path string, record_no bigint, payload string"
+PARSED = RECORDS + ", error_message string"
+#: Files that are read by lines, whatever the case of their names.
+LINE_FILES = "*.{[jJ][sS][oO][nN][lL],[nN][dD][jJ][sS][oO][nN]}"
+
+
+@dataclass(frozen=True)
+class Uploads:
+    """The files of one format that passed the gate: path with content, and the same as lines.
+
+    `contents` has path and content; `lines` has path, block (where the split it was read from begins) and text, in the
+    order of the file within a split. Both are lazy: a reader pays for what it uses.
+    """
+
+    contents: DataFrame
+    lines: DataFrame
+
+
+def _file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def detect_format(name: Column, preview: Column) -> Column:
@@ -52,9 +74,9 @@ def _text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text)
 
 
-def read_json(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_json(uploads: Uploads) -> tuple[DataFrame, DataFrame]:
     """(verdicts, records) of files holding one JSON array of objects or a single object."""
-    parsed = contents.select("path", F.try_parse_json(_text(F.col("content"))).alias("_v"))
+    parsed = uploads.contents.select("path", F.try_parse_json(_text(F.col("content"))).alias("_v"))
     kind = F.schema_of_variant("_v")
     shaped = parsed.withColumn(
         "_items",
@@ -77,77 +99,81 @@ def read_json(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.select("path", "error_message"), records
 
 
-def read_jsonl(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(path, record_no, encoded, text): lines with their number in the file, split as Python's splitlines does.
+
+    Lines keep their order within a split, so a line's number is its place there plus the number of lines of the splits
+    before, one row per split.
+    """
+    encoded = F.is_valid_utf8("text").alias("encoded")  # to be asked before anything is done with the text
+    parts = lines.select("path", "block", encoded, F.explode(F.split("text", LINE_BREAK, -1)).alias("text"))
+    placed = cut_lineage(parts.withColumn("_place", F.monotonically_increasing_id()))
+    splits = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1
+    shifts = splits.withColumn("_shift", shift).select("path", "block", "_shift")
+    return placed.join(shifts, ["path", "block"]).select(
+        "path", (F.col("_place") + F.col("_shift")).alias("record_no"), "encoded", "text"
+    )
+
+
+def read_jsonl(uploads: Uploads) -> tuple[DataFrame, DataFrame]:
     """(verdicts, records) of files with one JSON object per line; the first bad line fails the file."""
-    text = _text(F.col("content"))
-    lines = (
-        contents.where(text.isNotNull())
-        .select("path", F.posexplode(F.split(text, LINE_BREAK, -1)).alias("_no", "_line"))
-        .select("path", (F.col("_no") + 1).cast("long").alias("record_no"),
-                F.regexp_replace("_line", r"(?U)^\s+|\s+$", "").alias("payload"))
-        .where("payload <> ''")
-        .withColumn("_v", F.try_parse_json("payload"))
+    lines = numbered_lines(uploads.lines)
+    payload = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    judged = (
+        lines.select("path", "record_no", "encoded", payload.alias("payload"))
+        .where("payload <> '' or not encoded")
+        .withColumn("_v", F.when(F.col("encoded"), F.try_parse_json("payload")))
     )
     fault = (
-        F.when(F.col("_v").isNull(), F.concat(F.lit("Parsing failed: Invalid JSON at line "), F.col("record_no")))
+        F.when(~F.col("encoded"), "Unexpected error during parsing: not UTF-8")
+        .when(F.col("_v").isNull(), F.concat(F.lit("Parsing failed: Invalid JSON at line "), F.col("record_no")))
         .when(~F.schema_of_variant("_v").rlike("^OBJECT"),
               F.concat(F.lit("Parsing failed: Line "), F.col("record_no"), F.lit(" does not contain a JSON object")))
     )
-    judged = lines.withColumn("_fault", fault)
-    first = judged.where("_fault is not null").groupBy("path").agg(F.min_by("_fault", "record_no").alias("_fault"))
-    verdicts = contents.select("path", text.isNull().alias("_undecodable")).join(first, "path", "left").select(
-        "path",
-        F.when(F.col("_undecodable"), "Unexpected error during parsing: not UTF-8").otherwise(F.col("_fault"))
-        .alias("error_message"),
+    judged = cut_lineage(judged.withColumn("_fault", fault).drop("_v"))
+    # A file that is not text fails as such, whatever its lines hold.
+    first = judged.where("_fault is not null").groupBy("path").agg(
+        F.min_by("_fault", F.struct("encoded", "record_no")).alias("error_message")
     )
     good = judged.join(first.select("path"), "path", "left_anti").select("path", "record_no", "payload")
-    return verdicts, good
-
-
-def _csv_records(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
-    """Rows of CSV files that share one header line, all cells as text.
-
-    A missing cell (short row) is null, an empty one is '', surplus cells are dropped.
-    """
-    cells = [f"_c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_bad"]])
-    rows = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True,
-                 columnNameOfCorruptRecord="_bad")
-        .csv(paths)
-        .select("*", F.col("_metadata.file_path").alias("path"))
-    )
-    unquoted = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "")
-    given = F.when(F.col("_bad").isNull(), F.lit(len(cells))).otherwise(F.size(F.split(unquoted, ",", -1)))
-    filled = [F.coalesce(F.col(c), F.when(given > i, F.lit(""))) for i, c in enumerate(cells)]
-    named = dict(zip(header, filled, strict=True))
-    payload = F.to_json(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in named]), F.array(*named.values())), {"ignoreNullFields": "false"}
-    )
-    return rows.select("path", F.monotonically_increasing_id().alias("record_no"), payload.alias("payload"))
-
-
-def read_csv(spark: SparkSession, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, records) of CSV files with a header row. Files are grouped by header line."""
-    text = _text(F.col("content"))
-    verdicts = contents.select(
-        "path", F.when(text.isNull(), "Parsing failed: CSV parsing error: not UTF-8").alias("error_message")
-    )
-    first = F.element_at(F.split(text, "\r\n|[\n\r]", 2), 1)
-    # One row per file reaches the driver here: a path and its header, as with any file listing.
-    layouts = contents.where(text.isNotNull() & (text != "")).select("path", first.alias("_header")).collect()
-    by_header: dict[str, list[str]] = {}
-    for row in layouts:
-        by_header.setdefault(row._header, []).append(row.path)
-    records = no_rows(spark, RECORDS)
-    for header, paths in by_header.items():
-        records = records.unionByName(_csv_records(spark, paths, _split_header(header)))
-    return verdicts, records
-
-
-def _split_header(line: str) -> list[str]:
-    return next(csv.reader([line]))
+    return first, good
+
+
+def _parse_csv(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of whole CSV files: the header names the cells, a missing cell is null, surplus cells go, blank lines do not count."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            numbers, payloads, error = [], [], None
+            try:
+                rows = csv.reader(io.StringIO(content.as_py().decode("utf-8"), newline=""))
+                header, begins = None, 1
+                for cells in rows:
+                    if header is None:
+                        header = cells or None
+                    elif cells:
+                        filled = [*cells, *[None] * (len(header) - len(cells))]
+                        numbers.append(begins)
+                        payloads.append(json.dumps(dict(zip(header, filled, strict=False)), ensure_ascii=False, separators=(",", ":")))
+                    begins = rows.line_num + 1
+            except UnicodeDecodeError:
+                error = "Parsing failed: CSV parsing error: not UTF-8"
+            except csv.Error as fault:
+                error = f"Parsing failed: CSV parsing error: {fault}"
+            if error:
+                numbers, payloads = [None], [None]
+            columns = [[path] * len(numbers), numbers, payloads, [error] * len(numbers)]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            names = [part.split()[0] for part in PARSED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def read_csv(uploads: Uploads) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, records) of CSV files with a header row; record_no is the line on which a record begins."""
+    parsed = cut_lineage(uploads.contents.select("path", "content").mapInArrow(_parse_csv, PARSED))
+    bad = parsed.where("error_message is not null")
+    return bad.select("path", "error_message"), parsed.where("error_message is null").drop("error_message")
 
 
 def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -167,45 +193,58 @@ def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+Reader = Callable[[Uploads], tuple[DataFrame, DataFrame]]
 
 
-def readers(spark: SparkSession) -> dict[str, Reader]:
-    return {"JSON": read_json, "JSONL": read_jsonl, "CSV": lambda contents: read_csv(spark, contents)}
+def readers() -> dict[str, Reader]:
+    """The reader of each format. A further format is a further entry given to load_alerts."""
+    return {"JSON": read_json, "JSONL": read_jsonl, "CSV": read_csv}
 
 
-def load_alerts(spark: SparkSession, path: str | list[str], fmt: str | None = None, gate: bool = True):
+def load_alerts(spark: SparkSession, path: str | list[str], fmt: str | None = None, gate: bool = True,
+                known: dict[str, Reader] | None = None, name_format: Callable[[Column, Column], Column] = detect_format):
     """(files, records) of all files under a path. `fmt` overrides detection, gate=False skips the gate.
 
-    files: path, filename, length, format, error_message. records: path, record_no, payload.
+    files: path, filename, length, format, error_message. records: path, record_no, payload. `known` and `name_format`
+    replace the readers and the detection. Contents are read of files that passed the gate only, and of files without a
+    known extension only if their beginning has to tell the format.
     """
-    known = readers(spark)
+    known = known or readers()
     if fmt and fmt.upper() not in known:
         raise ValueError(f"No parser available for format: {fmt}")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
-    nothing = spark.createDataFrame(
-        [(p, 0, bytearray()) for p in _empty_files(spark, [path] if isinstance(path, str) else path)],
-        "path string, length bigint, content binary",
-    )
-    raw = raw.unionByName(nothing)
-    name = F.element_at(F.split("path", "/"), -1)
-    small = F.col("length") <= model.IMPORT_MAX_BYTES
-    preview = F.when(small, F.substring("content", 1, PREVIEW_BYTES).cast("string"))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    empty = _empty_files(spark, [path] if isinstance(path, str) else path)
+    nothing = spark.createDataFrame([(p, 0, bytearray()) for p in empty], "path string, length bigint, content binary")
+    raw = scan.select("path", "length", "content").unionByName(nothing).withColumn("filename", _file_name(F.col("path")))
     refused = gate_error(F.col("filename"), F.col("length")) if gate else F.lit(None).cast("string")
-    listed = (
-        raw.withColumn("filename", name)
-        .withColumn("format", F.lit(fmt.upper()) if fmt else detect_format(F.col("filename"), preview))
-        .withColumn("refused", refused)
+    by_name = F.lit(fmt.upper()) if fmt else name_format(F.col("filename"), F.lit(None).cast("string"))
+    listed = raw.withColumn("refused", refused).withColumn("format", F.when(refused.isNull(), by_name))
+    named = listed.where("refused is not null or format <> 'UNKNOWN'")
+    unnamed = listed.where("refused is null and format = 'UNKNOWN'")
+    if not fmt and not gate:
+        preview = F.substring("content", 1, PREVIEW_BYTES).cast("string")
+        unnamed = unnamed.withColumn("format", name_format(F.col("filename"), preview))
+    listed = named.unionByName(unnamed)
+
+    lines = spark.read.option("recursiveFileLookup", True)
+    if not fmt:
+        lines = lines.option("pathGlobFilter", LINE_FILES)
+    lines = lines.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("length"), F.col("value").alias("text"),
     )
+    if gate:
+        lines = lines.where(gate_error(_file_name(F.col("path")), F.col("length")).isNull())
+
     verdicts, records = no_rows(spark, "path string, error_message string"), no_rows(spark, RECORDS)
     for kind, reader in known.items():
         if fmt and fmt.upper() != kind:
             continue
-        mine = listed.where((F.col("format") == kind) & F.col("refused").isNull()).select("path", "content")
-        judged, rows = reader(mine)
+        mine = listed.where((F.col("format") == kind) & F.col("refused").isNull())
+        judged, rows = reader(Uploads(mine.select("path", "content"), lines.select("path", "block", "text")))
         verdicts, records = verdicts.unionByName(judged), records.unionByName(rows)
     files = (
-        listed.select("path", "filename", "length", "format", "refused")
+        listed.select("path", "filename", "length", F.coalesce("format", F.lit("UNKNOWN")).alias("format"), "refused")
         .join(verdicts, "path", "left")
         .select(
             "path", "filename", "length", "format",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from alertweave import model
 from alertweave.functions import columns as C
 from alertweave.operators.normalize import alerts_of, normalize, quarantine_of
+from alertweave.session import cut_lineage
 
 RAW, ALERTS, QUARANTINE = "raw_events", "normalized_alerts", "quarantine"
 
@@ -40,8 +41,8 @@ def store_raw(envelopes: DataFrame, root: str, run: str) -> DataFrame:
 
 
 def store_normalized(raw: DataFrame, root: str, run: str) -> tuple[DataFrame, DataFrame]:
-    """Normalise stored raw events; write alerts and quarantine. Returns both as stored."""
-    done = normalize(raw.drop("processing_status", "received_date"))
+    """Normalise stored raw events, once; write alerts and quarantine. Returns both as stored."""
+    done = cut_lineage(normalize(raw.drop("processing_status", "received_date")))
     alerts = alerts_of(done).withColumn("alert_date", F.to_date("timestamp"))
     good, bad = f"{root}/{ALERTS}/run={run}", f"{root}/{QUARANTINE}/run={run}"
     return _stored(alerts, good, "tenant_id", "alert_date"), _stored(quarantine_of(done), bad, "tenant_id")

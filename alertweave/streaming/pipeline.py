@@ -20,34 +20,112 @@ from pyspark.sql import functions as F
 from alertweave import model
 from alertweave.functions import columns as C
 from alertweave.operators import dedup, edges, entities, incidents, signals
-from alertweave.session import configure, cut_lineage
+from alertweave.session import Scratch, configure, cut_lineage, delete_folder
 
 SIGNAL_COLUMNS = [*signals.KEY, "gap_us", "signal_id", "first_us", "last_us", "occurrence_count", "severity_rank", "anchor",
                   "severity", "anchor_alert_id"]
 
 
+#: Parts a table is dealt into by the hash of its key, and batches after which they are written together.
+BUCKETS = 16
+COMPACT_AFTER = 8
+# What each table is looked up by.
+KEYS = {
+    "alerts": ["tenant_id", "dedup_fingerprint"], "signals": signals.KEY, "links": ["tenant_id", "signal_id"],
+    "entities": ["tenant_id", "signal_id"], "edges": ["edge_id"], "members": ["tenant_id", "signal_id"],
+    "incidents": ["tenant_id", "incident_key"],
+}
+# Tables in which a later row replaces an earlier one.
+REPLACED = {"signals": ["tenant_id", "signal_id"], "incidents": ["tenant_id", "incident_key"]}
+
+
 @dataclass
 class Store:
-    """Append-only tables under one folder, one sub-folder per batch."""
+    """Append-only tables under one folder.
+
+    A batch writes `name/batch=N/bucket=K`, which a repetition of the batch overwrites. Batches that can no longer be repeated
+    are written together into `name/upto=N/bucket=K` now and then, without the rows that later ones have replaced. A
+    reader that knows the keys it wants reads only their buckets, and one that knows the times it wants only
+    the row groups whose least and greatest times reach there, as the files' footers tell.
+    """
 
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
+    compact_after: int = COMPACT_AFTER
+
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _found(self, pattern: str) -> list[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        return [status.getPath().toString() for status in self._files().globStatus(path) or []]
+
+    def _bucket(self, name: str):
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in KEYS[name]]), F.lit(self.buckets)).cast("int")
+
+    def _parts(self, name: str, before: int | None) -> list[str]:
+        """Folders to be read: the last compaction and the batches after it."""
+        number = lambda path: int(path.rsplit("=", 1)[1])
+        whole = [p.rsplit("/", 1)[0] for p in self._found(f"{name}/upto=*/_SUCCESS")]
+        whole = [p for p in whole if before is None or number(p) < before]
+        last = max(whole, key=number, default=None)
+        after = -1 if last is None else number(last)
+        batches = [p for p in self._found(f"{name}/batch=*") if number(p) > after and (before is None or number(p) < before)]
+        return [*([last] if last else []), *sorted(batches, key=number)]
 
     def write(self, name: str, df: DataFrame, batch: int) -> DataFrame:
         path = f"{self.root}/{name}/batch={batch}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        """All rows written by earlier batches (before=None: by all), with their batch number."""
-        path = f"{self.root}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/part-*")):
-            return None
-        df = self.spark.read.option("basePath", path).parquet(path)
-        return df if before is None else df.where(F.col("batch") < before)
+        rows = df.withColumn("batch", F.lit(batch)).withColumn("bucket", self._bucket(name))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).drop("batch", "bucket")
+
+    def read(self, name: str, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """All rows written by earlier batches (before=None: by all), with their batch number.
+
+        `touched` has the table's key columns; then only the buckets of these keys are read, which hold other keys too.
+        """
+        parts = self._parts(name, before)
+        names = "*"
+        if touched is not None and parts:
+            wanted = touched.select(self._bucket(name).alias("b")).distinct().collect()  # at most `buckets` rows
+            names = "{" + ",".join(str(row.b) for row in wanted) + "}"
+            if not wanted:
+                return None
+        paths = [p for part in parts for p in self._found(f"{part.removeprefix(self._qualified())}/bucket={names}")]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _qualified(self) -> str:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return self._files().makeQualified(path).toString() + "/"
+
+    def compact(self, batch: int) -> list[str]:
+        """Write the batches before the last one together, once there are enough of them; the tables it did so for.
+
+        `batch` is the one at hand: it and the one before may still be repeated or read by a repetition.
+        """
+        done = []
+        for name in KEYS:
+            parts = [p for p in self._parts(name, batch - 1) if "/batch=" in p]
+            if len(parts) < self.compact_after:
+                continue
+            upto = batch - 2
+            rows = self.read(name, batch - 1)
+            if rows is None:
+                continue
+            if name in REPLACED:
+                newest = Window.partitionBy(*REPLACED[name]).orderBy(F.desc("batch"))
+                rows = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+                if name == "signals":
+                    rows = rows.where("not gone")
+            path = f"{self.root}/{name}/upto={upto}"
+            rows.withColumn("bucket", self._bucket(name)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            older = [p for p in self._found(f"{name}/upto=*") if int(p.rsplit("=", 1)[1]) < upto]
+            for old in [*older, *parts]:
+                delete_folder(self.spark, old)
+            done.append(name)
+        return done
 
 
 def last_rows(df: DataFrame, *key: str) -> DataFrame:
@@ -76,7 +154,7 @@ class CorrelationStream:
 
     def _alive(self, name: str, before: int | None, alive: DataFrame) -> DataFrame | None:
         """Rows of a table that belongs to signals, of signals that still are."""
-        rows = self.store.read(name, before)
+        rows = self.store.read(name, before, alive)
         return None if rows is None else rows.drop("batch").join(alive.select("signal_id"), "signal_id", "left_semi").distinct()
 
     def links(self, before: int | None = None) -> DataFrame | None:
@@ -103,7 +181,7 @@ class CorrelationStream:
     # -- one batch ---------------------------------------------------------------------------
     def _fresh(self, alerts: DataFrame, batch: int) -> DataFrame:
         """New alerts of this batch, tagged with rule, key and slot; kept for the history."""
-        seen = self.store.read("alerts", batch)
+        seen = self.store.read("alerts", batch, dedup.with_fingerprint(alerts))
         new = dedup.first_deliveries(alerts) if seen is None else dedup.new_deliveries(alerts, seen)
         return self.store.write("alerts", signals.with_slot(signals.with_rule(new, self.rules, self.lookup)), batch)
 
@@ -113,7 +191,7 @@ class CorrelationStream:
         moved has key, signal_id and into_id of signals that were merged away.
         """
         slots = signals.slot_sums(fresh).withColumn("_old_id", F.lit(None).cast("string"))
-        stored = self.store.read("signals", batch)
+        stored = self.store.read("signals", batch, fresh)
         rows = slots
         if stored is not None:
             # Only the rows of touched keys are looked at; those of signals gone carry their key too.
@@ -138,7 +216,7 @@ class CorrelationStream:
 
     def _carry(self, name: str, new: DataFrame, moved: DataFrame, batch: int) -> DataFrame:
         """Write rows of this batch, and again, under the new id, the rows of merged signals."""
-        past = self.store.read(name, batch)
+        past = self.store.read(name, batch, moved)
         if past is not None:
             into = moved.select("tenant_id", "signal_id", "into_id")
             again = past.drop("batch").join(into, ["tenant_id", "signal_id"]).withColumn("signal_id", F.col("into_id"))
@@ -146,7 +224,14 @@ class CorrelationStream:
         return self.store.write(name, new, batch)
 
     def process(self, alerts: DataFrame, batch: int) -> None:
+        """One batch: what it stores on the way is deleted at its end, old batches are written together now and then."""
         configure(self.store.spark)
+        with Scratch() as scratch:
+            self._process(alerts, batch)
+        scratch.drop(self.store.spark)
+        self.store.compact(batch)
+
+    def _process(self, alerts: DataFrame, batch: int) -> None:
         fresh = self._fresh(alerts, batch)
         if fresh.isEmpty():
             return
@@ -173,16 +258,21 @@ class CorrelationStream:
         span = acting.groupBy("tenant_id").agg(
             (F.min("first_us") - window).alias("_lo"), (F.max("last_us") + window).alias("_hi")
         )
-        rows = self.store.read("signals", batch + 1).join(span, "tenant_id").where("gone or (last_us >= _lo and first_us <= _hi)")
+        reach = acting.agg(F.min("first_us") - window, F.max("last_us") + window).first()
+        # As plain numbers the bounds reach the files' footers; the join then looks at each tenant's own.
+        rows = self.store.read("signals", batch + 1).where(f"gone or (last_us >= {reach[0]} and first_us <= {reach[1]})").join(span, "tenant_id").where("gone or (last_us >= _lo and first_us <= _hi)")
         return cut_lineage(current_signals(rows.drop("_lo", "_hi")))
 
     def _past_incidents(self, near: DataFrame, batch: int) -> tuple[DataFrame | None, DataFrame | None]:
         """(incidents, members) of earlier batches that hold any of the given signals."""
-        rows, members = self.store.read("incidents", batch), self.store.read("members", batch)
-        if rows is None or members is None:
+        members = self.store.read("members", batch, near)
+        if members is None:
             return None, None
         members = cut_lineage(members.drop("batch").join(near.select("signal_id"), "signal_id", "left_semi").distinct())
         key = ["tenant_id", "incident_key"]
+        rows = self.store.read("incidents", batch, members)
+        if rows is None:
+            return None, None
         return last_rows(rows.join(members.select(*key).distinct(), key, "left_semi"), *key), members
 
     def _correlate(self, acting: DataFrame, batch: int) -> None:
@@ -193,7 +283,7 @@ class CorrelationStream:
         ids = acting.select("signal_id")
         ends = found.select("edge_id", F.explode(F.array("left_signal_id", "right_signal_id")).alias("signal_id"))
         ours = cut_lineage(found.join(ends.join(ids, "signal_id", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi"))
-        stored = self.store.read("edges", batch)
+        stored = self.store.read("edges", batch, ours)
         new = ours if stored is None else edges.insert_if_absent(ours, stored, ["edge_id"])
         self.store.write("edges", new.select(*edges.EDGE_COLUMNS), batch)
 

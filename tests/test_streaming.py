@@ -109,6 +109,53 @@ def test_late_alert_bridges_two_signals(spark):
     assert stream.signals().count() == 2
 
 
+def test_store_reads_touched_buckets_only(spark):
+    store = Store(spark, folder("buckets"))
+    rows = spark.range(4000).selectExpr("'t' as tenant_id", "concat('s', id) as signal_id", "id as n")
+    for batch in range(3):
+        store.write("links", rows.where(F.col("n") % 3 == batch), batch)
+    some = rows.where("n < 2")
+    read = store.read("links", 3, some)
+    assert read.join(some.select("signal_id"), "signal_id", "left_semi").count() == 2
+    assert read.count() < 0.3 * 4000 and store.read("links", 3).count() == 4000 and store.read("links", 1).count() == 1334
+    assert {r.batch for r in store.read("links", 2).select("batch").distinct().collect()} == {0, 1}
+    assert store.read("links", 3, some.where("n < 0")) is None and store.read("entities", 3) is None
+
+
+def test_batches_are_written_together(spark):
+    """Nine small batches with and without compaction: the same signals, links and incidents, in fewer folders."""
+    streams = []
+    for after in (100, 3):
+        stream = CorrelationStream(Store(spark, folder("compact"), buckets=4, compact_after=after))
+        rows = late_rows(spark, [0, 110, 55, 300, 310, 20, 900, 1000, 950])
+        for batch in range(9):
+            stream.process(rows.where(F.col("id") == str(batch)), batch)
+        stream.process(rows.where("id = '8'"), 8)
+        streams.append(stream)
+    plain, tidy = streams
+    cols = ["tenant_id", "first_us", "last_us", "occurrence_count"]
+    assert sorted(map(tuple, plain.signals().select(*cols).collect())) == sorted(map(tuple, tidy.signals().select(*cols).collect()))
+    assert groups(plain.links()) == groups(tidy.links())
+    assert plain.signals().count() == 3
+    assert len(tidy.store._parts("alerts", None)) < len(plain.store._parts("alerts", None)) == 9
+
+
+def test_scratch_of_a_batch_is_deleted(spark):
+    from alertweave import session
+
+    made = []
+    stream = CorrelationStream(Store(spark, folder("scratch")))
+    plain = session.scratch_folder
+    keep = session.scratch_folder(spark)
+    spark.range(3).write.parquet(keep)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(session, "scratch_folder", lambda s: made.append(plain(s)) or made[-1])
+        stream.process(late_rows(spark, [0, 5]), 0)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = lambda p: hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p))
+    assert made and not any(there(p) for p in made) and there(keep)
+
+
 def run_memory(df, name, mode):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", folder(name)).start()
