@@ -61,6 +61,20 @@ def envelopes(spark: SparkSession, sf_dir: str, source_type: str) -> DataFrame:
     )
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(signals, entities): every event a signal of one tenant within two hours, one hash for all, a device of its own, one of three users."""
+    e = table(spark, sf_dir, "events")
+    first = F.expr("event_id * 7919 % 7200000000 + event_id % 7200 * 1000000")
+    s = e.select(
+        F.lit("t").alias("tenant_id"), F.col("event_id").alias("signal_id"), (first % 7_200_000_000).alias("first_us"),
+        (first % 7_200_000_000 + F.when(F.col("event_id") % 10 == 0, 60_000_000).otherwise(0)).alias("last_us"), (F.col("user_id") % 3).alias("_u"),
+    )
+    held = F.array(*[F.struct(F.lit(t).alias("entity_type"), v.alias("entity_value")) for t, v in (
+        ("HASH", F.lit("h")), ("DEVICE", F.concat(F.lit("d"), text("signal_id"))), ("USER", F.concat(F.lit("u"), text("_u"))))])
+    entities = s.select("tenant_id", "signal_id", F.explode(held).alias("_e")).select("tenant_id", "signal_id", "_e.*")
+    return s.drop("_u"), entities
+
+
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times written in eight ways, good and bad."""
     e = table(spark, sf_dir, "events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertweave import model
@@ -15,11 +15,14 @@ from alertweave.functions import columns as C
 from alertweave.functions import redaction as R
 from alertweave.functions.network import is_private
 from alertweave.operators import (
-    assessments, candidates, components, dedup, edges, entities, incidents, normalize, packages, privacy, signals,
+    assessments, candidates, components, dedup, edges, entities, incidents, link_classes, normalize, packages, privacy, signals,
 )
 from alertweave.plans import ingest, reports
 from alertweave.plans.correlate import correlate, run_metrics, signal_stage
 from alertweave.session import cut_lineage, scratch_folder
+from alertweave.sources import envelopes as envelope_source
+from alertweave.sources import tables
+from alertweave.sources.files import load_alerts
 from alertweave.streaming.pipeline import (
     CorrelationStream, Store, dashboard_stream, dedup_stream, edge_stream, read_alert_stream, signal_stream,
 )
@@ -130,6 +133,90 @@ def import_status(spark, sf_dir):
     return ingest.import_report(files, statuses)
 
 
+def _uploaded(df: DataFrame, write: Callable[[DataFrame, str], None], suffix: str) -> str:
+    """A folder of files written from `df`, called like uploads."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    write(df, folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for pattern in ("part-*", "*/part-*"):
+        for part in files.globStatus(hadoop.Path(f"{folder}/{pattern}")):
+            here = part.getPath()
+            files.rename(here, hadoop.Path(here.getParent(), f"{here.getName().split('.')[0]}.{suffix}"))
+    return folder
+
+
+def _uploads(spark, sf_dir) -> DataFrame:
+    """Payloads of all events, numbered; every 17th has no event id."""
+    return I.envelopes(spark, sf_dir, "CANONICAL").select(F.col("raw_event_id").cast("long").alias("n"), "payload")
+
+
+@query
+def import_jsonl(spark, sf_dir):
+    """All events as JSON Lines, a file per thousand, with a blank line after every seventh event: which record stands on which line."""
+    made = I.envelopes(spark, sf_dir, "XDR").select(F.col("raw_event_id").cast("long").alias("n"), "payload")
+    lines = made.select("n", F.expr("n div 1000").alias("g"), F.when(F.col("n") % 7 == 0, F.concat("payload", F.lit("\n"))).otherwise(F.col("payload")).alias("value"))
+    placed = lambda df: df.repartition("g").sortWithinPartitions("g", "n").select("g", "value")
+    folder = _uploaded(lines, lambda df, to: placed(df).write.partitionBy("g").text(to), "jsonl")
+    files, records = load_alerts(spark, folder)
+    sound = files.where("error_message is null").select("path")
+    return records.join(sound, "path", "left_semi").select(F.get_json_object("payload", "$.event_id").alias("event"), "record_no")
+
+
+@query
+def import_csv(spark, sf_dir):
+    """All events as CSV with quoted commas, quotes and line breaks, read back cell by cell."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        I.text("event_id").alias("source_event_id"), F.concat(F.lit('said "'), "event_type", F.lit('", '), I.text("user_id")).alias("alert_type"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("two\nlines "), I.text("value"))).alias("message"), F.col("props").alias("user"),
+    )
+    options = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": ""}
+    folder = _uploaded(rows, lambda df, to: df.repartition(3).write.options(**options).csv(to), "csv")
+    _, records = load_alerts(spark, folder)
+    return records.select(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in rows.columns])
+
+
+@query
+def import_files_report(spark, sf_dir):
+    """JSON arrays, one file per user group, imported whole: ids missing, times missing, what became of every file."""
+    made = _uploads(spark, sf_dir).withColumn("part", (F.col("n") % 5).cast("int"))
+    whole = made.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "payload"))), lambda x: x["payload"]), ","), F.lit("]")).alias("value"))
+    folder = _uploaded(whole, lambda df, to: df.repartition(5, "part").select("value").write.text(to), "json")
+    report = ingest.import_files(spark, folder, scratch_folder(spark), "query", "tenant_1", "canonical")
+    names = ["records_received", "parse_failed", "raw_records_stored", "normalized", "normalization_failed"]
+    return report.where("records_received > 0").groupBy("format", "status").agg(F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in names])
+
+
+@query
+def envelope_sources(spark, sf_dir):
+    """Envelopes from JSON lines, from a stream of files and from a message value: the same payloads three times."""
+    made = I.envelopes(spark, sf_dir, "XDR").select(*model.ENVELOPE_SCHEMA.names)
+    folder = scratch_folder(spark)
+    made.repartition(4).write.json(folder)
+    value = made.select(F.to_json(F.struct(*made.columns)).cast("binary").alias("value"))
+    ways = {
+        "file": envelope_source.read_envelopes(spark, folder),
+        "stream": _drained(envelope_source.stream_envelopes(spark, folder, 2)),
+        "message": envelope_source.from_kafka_value(value),
+    }
+    out = None
+    for way, rows in ways.items():
+        one = rows.select(F.lit(way).alias("way"), "tenant_id", "source_type", F.get_json_object("payload", "$.event_id").alias("event"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("way", "tenant_id", "source_type").agg(F.count(F.lit(1)).alias("envelopes"), F.countDistinct("event").alias("events"))
+
+
+@query
+def alerts_looked_up(spark, sf_dir):
+    """Every third alert asked for under its own tenant, every other one under the next tenant, which finds nothing."""
+    found = alerts(spark, sf_dir)
+    number = F.substring("tenant_id", 8, 1).cast("int")
+    asked = found.select("id", F.when(F.col("id") % 3 == 0, F.col("tenant_id")).otherwise(F.concat(F.lit("tenant_"), I.text((number + 1) % 4))).alias("tenant_id"))
+    return tables.alerts_by_id(found, asked).select("id", "tenant_id", "alert_type")
+
+
 @query
 def tenant_scan(spark, sf_dir):
     return alerts(spark, sf_dir).where("tenant_id = 'tenant_1'").select(
@@ -281,6 +368,21 @@ def edges_in_context(spark, sf_dir):
     return edges.build_edges(stage.signals, stage.linkable, POLICY).select("edge_id", "score")
 
 
+@query
+def dense_entity_links(spark, sf_dir):
+    """All events as signals of two hours that share one hash: links between classes, none listed, none left out."""
+    found = link_classes.class_links(*I.crowded(spark, sf_dir), POLICY)
+    return found.links.select("tenant_id", "left_class_id", "right_class_id", "score", F.col("n_links").cast("long").alias("n_links"))
+
+
+@query
+def dense_entity_best_links(spark, sf_dir):
+    """The pairs behind the class rows with the best score, listed and counted by their smaller signal."""
+    found = link_classes.class_links(*I.crowded(spark, sf_dir), POLICY, 90)
+    pairs = link_classes.expand(found, found.links.where("left_class_id = right_class_id"), POLICY)
+    return pairs.groupBy("left_signal_id", "score").agg(F.count(F.lit(1)).alias("partners"))
+
+
 @query
 def score_histogram(spark, sf_dir):
     stage = _stage(spark, sf_dir, DAY, keep=True)
@@ -323,8 +425,10 @@ def incident_memberships(spark, sf_dir):
 @query
 def run_counts(spark, sf_dir):
     run = _correlated(spark, sf_dir, 60)
-    return run_metrics(run).select("tenant_id", "alerts_processed", "duplicates_detected", "signals_created", "edges_created",
-                                   "incidents_created", "incident_memberships_added")
+    return run_metrics(run, POLICY).select(
+        "tenant_id", "alerts_processed", "duplicates_detected", "signals_created", "edges_created", "incidents_created",
+        "incident_memberships_added", "candidate_queries", "candidate_rows_evaluated", "max_candidate_set_size", "candidate_set_truncated",
+    )
 
 
 # ---- reports --------------------------------------------------------------------------------------------
@@ -443,6 +547,17 @@ def stale_jobs(spark, sf_dir):
     return assessments.stale_jobs(I.jobs(spark, sf_dir), _order_packages(spark, sf_dir)).select("job_id", "is_stale", "must_not_run")
 
 
+@query
+def job_outcomes(spark, sf_dir):
+    """Orders as jobs: without a customer's package, outdated, answered by an earlier run, or as their own runs ended."""
+    jobs, runs = I.jobs(spark, sf_dir), I.runs(spark, sf_dir)
+    results = runs.where("status = 'SUCCESS'").join(jobs.select("job_id", "tenant_id", "incident_key"), "job_id").select(
+        "tenant_id", "incident_key", "run_id", F.col("run_id").alias("result_id")
+    )
+    known = _order_packages(spark, sf_dir).where("incident_version < 3 or package_fingerprint = 'fp_0'")
+    return assessments.job_outcomes(jobs, known, runs, results).select("job_id", "outcome", "reused_result_id")
+
+
 @query
 def job_reuse(spark, sf_dir):
     jobs, runs = I.jobs(spark, sf_dir), I.runs(spark, sf_dir)
@@ -597,10 +712,12 @@ def evidence_map(spark, sf_dir):
 
 @query
 def leak_scan(spark, sf_dir):
-    """Every package gets one more item that tells one of its aliased values, inside a url and before a full stop."""
+    """Every package gets items that tell one of its aliased values in a url, inside a longer word and without its first letter."""
     package = _message_package(spark, sf_dir)
     told = package.alias_map.groupBy("package_id").agg(F.min("value").alias("_v"))
-    planted = told.select("package_id", F.lit("planted").alias("evidence_ref"), F.format_string("curl http://%s/x from %s.", "_v", "_v").alias("message"))
+    forms = [F.format_string("curl http://%s/x", "_v"), F.concat(F.lit("asked x"), "_v", F.lit("y")), F.expr("substring(_v, 2)")]
+    rows = F.array(*[F.struct(F.lit(f"planted_{k}").alias("evidence_ref"), form.alias("message")) for k, form in enumerate(forms)])
+    planted = told.select("package_id", F.explode(rows).alias("_r")).select("package_id", "_r.*")
     package = replace(package, items=package.items.unionByName(planted, allowMissingColumns=True))
     found = privacy.leaks(package).groupBy("package_id").agg(F.count(F.lit(1)).alias("_n"))
     return package.items.groupBy("package_id").agg(F.count(F.lit(1)).alias("items")).join(found, "package_id", "left").select(
@@ -608,6 +725,29 @@ def leak_scan(spark, sf_dir):
     )
 
 
+@query
+def released_packages(spark, sf_dir):
+    """Packages of which every third tells one of its values: held back whole."""
+    package = _message_package(spark, sf_dir)
+    told = package.alias_map.where("package_id % 3 = 0").groupBy("package_id").agg(F.max("value").alias("_v"))
+    planted = told.select("package_id", F.lit("planted").alias("evidence_ref"), F.concat(F.lit("see "), "_v").alias("message"))
+    kept, held = privacy.released(replace(package, items=package.items.unionByName(planted, allowMissingColumns=True)))
+    passed = kept.items.groupBy("package_id").agg(F.count(F.lit(1)).alias("items")).select("package_id", "items", F.lit(0).cast("long").alias("leaks"))
+    return passed.unionByName(held.select("package_id", F.lit(0).cast("long").alias("items"), "leaks"))
+
+
+@query
+def refused_packages(spark, sf_dir):
+    """Events as packages by user; some without a tenant, a position or an id, some of two tenants."""
+    e, u = table(spark, sf_dir, "events"), F.col("user_id") % 7
+    rows = e.select(
+        F.when(F.col("user_id") % 50 != 3, F.col("user_id")).alias("package_id"),
+        F.when((u != 1) | (F.col("event_id") % 2 == 0), F.when((u == 2) & (F.col("event_id") % 2 == 0), "b").otherwise("a")).alias("tenant_id"),
+        F.when(u != 4, F.col("event_id")).alias("item_no"), F.when((u != 5) | (F.col("event_id") % 3 == 0), F.col("event_id")).alias("id"),
+    )
+    return privacy.refused_packages(rows)
+
+
 @query
 def mixed_packages(spark, sf_dir):
     """Packages that would mix tenants are refused whole."""

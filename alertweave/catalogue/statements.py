@@ -107,6 +107,25 @@ select path, kind || '.json' as filename, 'JSON' as format, records_received, pa
   case when kind = 11 then 'Parsing failed: Invalid JSON'
     when parse_failed > 0 and raw_records_stored = 0 then 'All records failed to process.' end as error_message
 from counted"""
+ORACLES["import_jsonl"] = """
+select 'x-' || event_id as event, row_number() over w + coalesce(sum(case when event_id % 7 = 0 then 1 else 0 end)
+  over (w rows between unbounded preceding and 1 preceding), 0)::bigint as record_no
+from events window w as (partition by event_id // 1000 order by event_id)"""
+ORACLES["import_csv"] = """
+select cast(event_id as varchar) as source_event_id, 'said "' || event_type || '", ' || user_id as alert_type,
+  case when event_id % 3 = 0 then 'two' || chr(10) || 'lines ' || cast(value as varchar) else '' end as message, props as "user" from events"""
+ORACLES["import_files_report"] = """
+with made as (
+  select event_id % 5 as part, event_id % 17 <> 0 as named from events),
+files as (
+  select part, count(*) as records, count(*) filter (named) as good from made group by part)
+select 'JSON' as format, case when good = records then 'COMPLETED' else 'PARTIAL' end as status, count(*) as files,
+  sum(records)::bigint as records_received, 0::bigint as parse_failed, sum(records)::bigint as raw_records_stored, sum(good)::bigint as normalized,
+  sum(records - good)::bigint as normalization_failed from files group by all"""
+ORACLES["envelope_sources"] = """
+select way, 'tenant_' || (user_id % 4) as tenant_id, 'xdr' as source_type, count(*) as envelopes, count(distinct event_id) as events
+from events, (select unnest(['file', 'stream', 'message']) as way) group by all"""
+ORACLES["alerts_looked_up"] = "with " + O.ALERTS + " select id, tenant_id, alert_type from alerts where id % 3 = 0"
 ORACLES["tenant_scan"] = "with " + O.ALERTS + """
 select id, tenant_id, source_type, source_product, alert_type, severity, "user", host, src_ip, dst_ip from alerts
 where tenant_id = 'tenant_1'"""
@@ -165,8 +184,8 @@ ORACLES["candidate_pairs"] = _ENT + "," + O.pairs() + " select * from pairs"
 ORACLES["candidates_topk"] = _ENT + "," + O.pairs(2).replace("interval 2 hour", "interval 24 hour") + """
 select distinct tenant_id, a_id as signal_id, b_id as candidate_id from directed where n <= 2"""
 ORACLES["candidate_set_sizes"] = _ENT + "," + O.pairs(20).replace("interval 2 hour", "interval 24 hour") + """
-select tenant_id, max(size) as max_candidate_set_size, max(top) >= 20 as candidate_set_truncated from (
-  select tenant_id, a_id, count(distinct b_id) as size, max(n) as top from directed where n <= 20 group by all) group by tenant_id"""
+select tenant_id, max(size) as max_candidate_set_size, max(top) >= 20 as candidate_set_truncated, sum(found)::bigint as candidate_rows_evaluated from (
+  select tenant_id, a_id, count(distinct b_id) as size, max(n) as top, count(*) as found from directed where n <= 20 group by all) group by tenant_id"""
 ORACLES["edges_scored"] = O.through_edges(DAY) + """
 select edge_id, tenant_id, left_signal_id, right_signal_id, score, 'corr-v2' as rule_version from edges"""
 ORACLES["edge_reasons"] = O.through_edges(60) + " select edge_id, score, reasons from edges"
@@ -193,7 +212,11 @@ select tenant_id, (select count(*) from alerts x where x.tenant_id = t.tenant_id
   (select count(*) from signals x where x.tenant_id = t.tenant_id) as signals_created,
   (select count(*) from edges x where x.tenant_id = t.tenant_id) as edges_created,
   (select count(*) from assigned x where x.tenant_id = t.tenant_id) as incidents_created,
-  (select count(*) from held x where x.tenant_id = t.tenant_id) as incident_memberships_added
+  (select count(*) from held x where x.tenant_id = t.tenant_id) as incident_memberships_added,
+  (select count(*) from linkable x where x.tenant_id = t.tenant_id and entity_type in ('USER', 'DEVICE', 'HASH')) as candidate_queries,
+  (select count(*) from directed x where x.tenant_id = t.tenant_id) as candidate_rows_evaluated,
+  coalesce((select max(c) from (select tenant_id, a_id, count(distinct b_id) as c from directed group by all) x where x.tenant_id = t.tenant_id), 0)
+    as max_candidate_set_size, false as candidate_set_truncated
 from (select distinct tenant_id from alerts) t"""
 
 # ---- reports --------------------------------------------------------------------------------------------
@@ -313,7 +336,19 @@ _PACKAGES = """, versions as (
 ORACLES["stale_jobs"] = _INCIDENTS + _PACKAGES + """
 select job_id, j.incident_version < v.incident_version as is_stale,
   j.incident_version <> v.incident_version or j.package_fingerprint <> v.package_fingerprint as must_not_run
-from jobs j join versions v using (tenant_id, incident_key)"""
+from jobs j left join versions v using (tenant_id, incident_key)"""
+ORACLES["job_outcomes"] = _INCIDENTS + _PACKAGES + """, known as (select * from versions where incident_version < 3 or package_fingerprint = 'fp_0'),
+good as (
+  select j.tenant_id, j.incident_key, j.package_fingerprint, min(l_orderkey * 10 + l_linenumber) as result_id
+  from lineitem join jobs j on j.job_id = l_orderkey where l_linestatus = 'F' group by all),
+ended as (select l_orderkey as job_id, bool_or(l_linestatus = 'F') as ok from lineitem group by all),
+told as (
+  select j.job_id, g.result_id, case when k.incident_key is null then 'FAILED'
+    when j.incident_version <> k.incident_version or j.package_fingerprint <> k.package_fingerprint then 'STALE'
+    when g.result_id is not null then 'SUCCEEDED' when ok then 'SUCCEEDED' when not ok then 'FAILED' else 'PENDING' end as outcome
+  from jobs j left join known k using (tenant_id, incident_key) left join ended using (job_id)
+  left join good g on g.tenant_id = j.tenant_id and g.incident_key = j.incident_key and g.package_fingerprint = j.package_fingerprint)
+select job_id, outcome, case when outcome = 'SUCCEEDED' then result_id end as reused_result_id from told"""
 ORACLES["job_reuse"] = _INCIDENTS + _PACKAGES + """, done as (
   select distinct j.tenant_id, j.incident_key, j.package_fingerprint, 'model_' || l_returnflag as provider
   from lineitem join jobs j on j.job_id = l_orderkey where l_linestatus = 'F')
@@ -486,10 +521,56 @@ from (select package_id, id as alert_id, unnest([
      'marker': command_line}]) as f from safe) where f.marker is not null"""
 ORACLES["evidence_map"] = _MESSAGES + f"""
 select package_id, tenant_id, {_REF} as evidence_ref, id as internal_alert_id, cast(id as varchar) as source_event_id from messages"""
-ORACLES["leak_scan"] = _MESSAGES + """
-select package_id, m.n + coalesce(a.told, 0) as items, cast(coalesce(a.told, 0) as bigint) as leaks
-from (select package_id, count(*) as n from messages group by package_id) m
-left join (select package_id, least(1, count(*)) as told from aliases group by package_id) a using (package_id)"""
+_CROWDED = """
+with placed as (
+  select event_id as id, 'u' || (user_id % 3) as u, (event_id * 7919 % 7200000000 + event_id % 7200 * 1000000) % 7200000000 as f,
+    case when event_id % 10 = 0 then 60000000 else 0 end as lasts from events),
+signals as (
+  select id, u, f, f + lasts as l, min(id) over (partition by u, f // 300000000, (f + lasts) // 300000000) as class from placed),
+pairs as (
+  select least(a.class, b.class) as left_class_id, greatest(a.class, b.class) as right_class_id, a.id as a_id, b.id as b_id,
+    50 + case when a.u = b.u then 25 else 0 end + case when greatest(0, a.f - b.l, b.f - a.l) <= 300000000 then 15
+      when greatest(0, a.f - b.l, b.f - a.l) <= 3600000000 then 5 else 0 end as score
+  from signals a join signals b on a.id < b.id and greatest(0, a.f - b.l, b.f - a.l) <= 7200000000)"""
+ORACLES["dense_entity_links"] = _CROWDED + """
+select 't' as tenant_id, left_class_id, right_class_id, score, count(*) as n_links from pairs group by all"""
+ORACLES["dense_entity_best_links"] = _CROWDED + """
+select least(a_id, b_id) as left_signal_id, score, count(*) as partners from pairs
+where left_class_id = right_class_id and score >= 90 group by all"""
+ORACLES["leak_scan"] = _MESSAGES + f""", told as (select package_id, min(value) as v from aliases group by package_id),
+items as (
+  select package_id, {_REF} as evidence_ref, [user_alias, host_alias, src_alias, coalesce(dst_alias, d), command_line, message] as fields from safe
+  union all select package_id, 'planted_0', ['curl http://' || v || '/x'] from told
+  union all select package_id, 'planted_1', ['asked x' || v || 'y'] from told
+  union all select package_id, 'planted_2', [substr(v, 2)] from told),
+texts as (
+  select package_id, evidence_ref, lower(regexp_replace(f, '(USER|HOST|PRIVATE_IP)_[0-9A-F]{{4}}_[0-9]{{3,}}', chr(1), 'g')) as text
+  from (select package_id, evidence_ref, unnest(fields) as f from items) where f is not null),
+found as (select distinct t.package_id, evidence_ref from texts t join aliases a on a.package_id = t.package_id and contains(text, value))
+select package_id, i.n as items, coalesce(l.n, 0) as leaks
+from (select package_id, count(*) as n from items group by package_id) i
+left join (select package_id, count(*) as n from found group by package_id) l using (package_id)"""
+ORACLES["released_packages"] = _MESSAGES + f""", told as (select package_id, max(value) as v from aliases where package_id % 3 = 0 group by package_id),
+items as (
+  select package_id, {_REF} as evidence_ref, [user_alias, host_alias, src_alias, coalesce(dst_alias, d), command_line, message] as fields from safe
+  union all select package_id, 'planted', ['see ' || v] from told),
+texts as (
+  select package_id, evidence_ref, lower(regexp_replace(f, '(USER|HOST|PRIVATE_IP)_[0-9A-F]{{4}}_[0-9]{{3,}}', chr(1), 'g')) as text
+  from (select package_id, evidence_ref, unnest(fields) as f from items) where f is not null),
+found as (select distinct t.package_id, evidence_ref from texts t join aliases a on a.package_id = t.package_id and contains(text, value)),
+held as (select package_id, count(*) as n from found group by package_id)
+select i.package_id, case when h.n is null then i.n else 0 end as items, coalesce(h.n, 0) as leaks
+from (select package_id, count(*) as n from items group by package_id) i left join held h using (package_id)"""
+ORACLES["refused_packages"] = """
+with rows as (
+  select case when user_id % 50 <> 3 then user_id end as package_id, user_id % 7 as u, event_id from events),
+marked as (
+  select package_id, bool_or(u = 1 and event_id % 2 <> 0) as no_tenant,
+    count(distinct case when u = 1 and event_id % 2 <> 0 then null when u = 2 and event_id % 2 = 0 then 'b' else 'a' end) > 1 as mixed,
+    bool_or(u = 4) as nowhere, bool_or(u = 5 and event_id % 3 <> 0) as nameless from rows group by package_id)
+select package_id, case when package_id is null then 'NO_PACKAGE' when no_tenant then 'NO_TENANT' when mixed then 'MIXED_TENANTS'
+  when nowhere then 'NO_POSITION' else 'NO_ALERT_ID' end as reason
+from marked where package_id is null or no_tenant or mixed or nowhere or nameless"""
 ORACLES["alert_evidence"] = "with " + O.ALERTS + """,
 packed as (
   select tenant_id || '/' || src_ip as package_id, row_number() over (partition by tenant_id || '/' || src_ip order by id) as item_no,
