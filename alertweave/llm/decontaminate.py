@@ -184,24 +184,22 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def largest_consistent(windows: list[tuple[int, frozenset]]) -> list[tuple[int, frozenset]]:
     """The most windows (pos, pairs of slot values) under one mapping, in which a value of either side stands for one of the other."""
     best: list[tuple[int, frozenset]] = []
-    steps = 0
-
-    def search(left: list[tuple[int, frozenset]]) -> None:
-        nonlocal best, steps
-        steps += 1
-        if len(left) <= len(best) or steps > STEPS:
-            return
+    waiting = [windows]
+    for _ in range(STEPS):
+        if not waiting:
+            break
+        left = waiting.pop()
+        if len(left) <= len(best):
+            continue
         count = Counter(pair for _, pairs in left for pair in pairs)
         ours, theirs = Counter(a for a, _ in count), Counter(b for _, b in count)
         contested = [pair for pair in count if ours[pair[0]] > 1 or theirs[pair[1]] > 1]
         if not contested:
             best = left
-            return
+            continue
         pick = max(contested, key=lambda pair: (count[pair], pair))
-        search([w for w in left if not any((a == pick[0]) != (b == pick[1]) for a, b in w[1])])
-        search([w for w in left if pick not in w[1]])
-
-    search(windows)
+        waiting.append([w for w in left if pick not in w[1]])
+        waiting.append([w for w in left if not any((a == pick[0]) != (b == pick[1]) for a, b in w[1])])
     return best
 
 
@@ -303,5 +301,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `documents` that hold no benchmark item, all columns kept; rows without doc_id stay."""
-    leaked = matches(documents, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(leaked, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    leaked = matches(documents, benchmark).select(F.col("doc_id").alias("id")).distinct()
+    # A row as one value, so that its columns may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), whole)
+    return rows.join(leaked, "id", "left_anti").select("row.*")

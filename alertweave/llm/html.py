@@ -24,10 +24,11 @@ from alertweave.llm.common import settle
 #: Labelled pages that the weights are fitted on, about so many; chosen by the hash of their id.
 FIT_PAGES = 2_000
 
-#: A comment, a raw-text element with its content, a declaration, or a tag with quoted attributes.
+#: A comment, a raw-text element with its content, a declaration, or a tag with quoted attributes. A quote that does not end within
+#: 4096 characters is no quote; the tag then ends at the next bracket, so that a quote left open costs no search to the page's end.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+(?=>|\Z)|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?:class|id|role|itemtype|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -48,8 +49,13 @@ NAMES = frozenset(
     "related recommended reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets "
     "complementary contentinfo".split()
 )
+#: Of these, the ones that hold for an element however much it holds; others do not for one that holds most of the page's words.
+STRONG = frozenset("ad ads adv advert advertisement adverts advertising comment comments commentlist disqus reply replies respond".split())
+#: A name in a word with one of these describes its surroundings: has-sidebar, no-sidebar, share-enabled, search-result.
+QUALIFIERS = frozenset("has have no not non with without enable enabled disable disabled result results".split())
 #: An opening tag closes these before it, as browsers do.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BOUNDS = ("ul", "ol", "dl", "table", "menu", "div")
 CLIP = 4.0
 Key = tuple
 
@@ -65,16 +71,16 @@ class Run:
     inside: bool
 
 
-def _is_furniture(tag: str, attributes: str, marked: bool) -> bool:
-    if tag in FURNITURE or tag in OUTER and not marked:
-        return True
-    if "=" not in attributes or tag in ("html", "body"):
-        return False
-    for m in NAMED.finditer(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower())
-        if not NAMES.isdisjoint(words):
-            return True
-    return False
+def _names(attributes: str) -> set[str]:
+    """Furniture's names among the class, id and role words of a tag."""
+    found: set[str] = set()
+    if "=" in attributes:
+        for m in NAMED.finditer(attributes):
+            for word in m[1].strip("'\"").split():
+                parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", word).lower())
+                if QUALIFIERS.isdisjoint(parts):
+                    found |= NAMES.intersection(parts)
+    return found
 
 
 @dataclass
@@ -83,28 +89,75 @@ class Page:
     has_mark: bool = False
 
 
-def scan(html: str) -> Page:
-    """The page's text and tags in order, each with the key of its weight."""
-    page = Page()
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, marked
+@dataclass
+class Open:
+    """An open element, and what holds inside it."""
+
+    tag: str
+    link: bool
+    furniture: bool
+    marked: bool
+    nearest: str
+    blocks: int
+    hard: bool  # in furniture by tag or by a strong name
+    place: int  # of its tag, if it is furniture by a weak name, else -1
+    start: int  # words before it
+
+
+class Stack:
+    """The open elements; every step takes as long as the elements it closes."""
+
+    def __init__(self):
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.furniture: list[int] = []  # places of elements that are furniture themselves
+        self.words = 0  # outside of hard furniture, so far
+        self.held: dict[int, int] = {}  # words inside elements that are furniture by a weak name
+
+    @property
+    def top(self) -> Open:
+        return self.open[-1] if self.open else Open("", False, False, False, "", 0, False, -1, 0)
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, own: bool, is_mark: bool, hard: bool, place: int) -> None:
+        top = self.top
+        self.places.setdefault(tag, []).append(len(self.open))
+        if own:
+            self.furniture.append(len(self.open))
+        block = tag in BLOCKS
+        self.open.append(
+            Open(tag, top.link or tag == "a", top.furniture or own, top.marked or is_mark, tag if block else top.nearest, top.blocks + block, top.hard or hard, place, self.words)
+        )
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            if gone.place >= 0:
+                self.held[gone.place] = self.words - gone.start
+        while self.furniture and self.furniture[-1] >= depth:
+            self.furniture.pop()
+
+
+def _scan(html: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and the elements that are furniture by a weak name but hold most of the words outside of other furniture.
+
+    Elements are known by the place of their tag; `spared` ones are not furniture by their names.
+    """
+    page, stack = Page(), Stack()
     block = at = 0
     in_head = False
 
-    def state() -> tuple[bool, bool, bool, str]:
-        link, furniture, marked, nearest = False, False, False, ""
-        for tag, is_furniture, is_marked in stack:
-            furniture |= is_furniture
-            marked |= is_marked
-            link |= tag == "a"
-            if tag in BLOCKS:
-                nearest = tag
-        return link, furniture, marked, nearest
-
     def say(text: str) -> None:
+        top = stack.top
         if text and not in_head and not text.isspace():
-            link, furniture, marked, nearest = state()
             words = len(text.split())
-            page.runs.append(Run(block, ("word", furniture, link, nearest, marked), text, words, marked and not furniture))
+            page.runs.append(Run(block, ("word", top.furniture, top.link, top.nearest, top.marked), text, words, top.marked and not top.furniture))
+            if not top.hard:
+                stack.words += words
         elif text:
             page.runs.append(Run(block, (), " ", 0, False))
 
@@ -117,42 +170,55 @@ def scan(html: str) -> Page:
         if m[2]:
             if tag == "head":
                 in_head = False
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            depth = stack.last(tag)
             # An inline end tag does not close blocks around it.
-            if depth >= 0 and not (tag in INLINE and any(s[0] in BLOCKS for s in stack[depth + 1 :])):
-                del stack[depth:]
+            if depth >= 0 and not (tag in INLINE and stack.top.blocks > stack.open[depth].blocks):
+                stack.cut(depth)
         else:
             if tag == "head":
                 in_head = True
             elif tag in BLOCKS and tag != "html":
                 in_head = False
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "menu", "div"):
-                        break
-            if tag in BLOCKS and stack and any(s[0] == "p" for s in stack):
+                depth = max(map(stack.last, CLOSES[tag]))
+                if depth >= 0 and depth > max(map(stack.last, BOUNDS)):
+                    stack.cut(depth)
+            if tag in BLOCKS and stack.places.get("p"):
                 # A block ends the paragraph before it and what was left open inside.
-                del stack[next(k for k, s in enumerate(stack) if s[0] == "p") :]
-            _, furniture, marked, _ = state()
-            own = _is_furniture(tag, m[4], marked)
-            if tag in MARKED and not own and furniture and not marked:
+                stack.cut(stack.places["p"][0])
+            names = set() if tag in ("html", "body") else _names(m[4])
+            strong = not names.isdisjoint(STRONG)
+            weak = bool(names) and m.start() not in spared and tag not in MARKED
+            by_tag = tag in FURNITURE or tag in OUTER and not stack.top.marked
+            own = by_tag or strong or weak
+            if tag in MARKED and not own and stack.top.furniture and not stack.top.marked:
                 # Furniture that was never closed does not swallow the article.
-                del stack[next(k for k, s in enumerate(stack) if s[1]) :]
-                furniture = False
-            is_mark = tag in MARKED and not own and not furniture
+                stack.cut(stack.furniture[0])
+            is_mark = tag in MARKED and not own and not stack.top.furniture
             page.has_mark |= is_mark
             if tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCKS and tag != "hr":
-                stack.append((tag, own, is_mark))
+                hard = by_tag or strong
+                stack.push(tag, own, is_mark, hard, m.start() if weak and not hard else -1)
         if tag in BLOCKS:
             block += 1
-        link, furniture, marked, _ = state()
+        top = stack.top
         # Tags in furniture weigh nothing, so that an advert within an article costs what its words cost, which is bounded.
-        page.runs.append(Run(block, ("tag", furniture, tag if tag in BLOCKS else "inline", marked), " " if tag in ("br", "td", "th") else "", 0, marked and not furniture))
+        page.runs.append(
+            Run(block, ("tag", top.furniture, tag if tag in BLOCKS else "inline", top.marked), " " if tag in ("br", "td", "th") else "", 0, top.marked and not top.furniture)
+        )
     say(html[at:])
-    return page
+    stack.cut(0)
+    return page, frozenset(place for place, words in stack.held.items() if 2 * words > stack.words)
+
+
+def scan(html: str) -> Page:
+    """The page's text and tags in order, each with the key of its weight.
+
+    An element that holds most of the page's words is a frame around the content, not furniture, whatever it is called,
+    unless its name is one of STRONG. It is found on a first reading; then the page is read again.
+    """
+    page, frames = _scan(html, frozenset())
+    return page if page.has_mark or not frames else _scan(html, frames)[0]
 
 
 def unseen(key: Key) -> Key:

@@ -23,7 +23,15 @@ def query(f: Query) -> Query:
 @query
 def op1_warc_bundles(spark, sf_dir):
     bundles = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(bundles).drop("url")
+    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc_bundles"] = """
+with payloads as (select page_id, coalesce(html, '') as payload from pages),
+digests as (select page_id, strlen(payload) as payload_bytes, sha256(payload) as payload_digest from payloads),
+firsts as (select *, min(page_id) over (partition by payload_digest) as first from digests)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from firsts"""
 
 
 @query

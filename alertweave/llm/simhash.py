@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +31,10 @@ SIMILAR = (4, 5)
 HOT_SAMPLE = 16
 HOT_SEEN = 4
 HOT_BITS = 24
-#: Candidates are confirmed in so many turns, so that the sets of only a part are on disk at once.
-SLICES = 4
+#: A text that is in more pairs than this is copied for every so many of them, and pairs of shingle groups are looked at by this many
+#: centres at first, then by GROWTH times as many each turn.
+PAIRS_A_COPY = 1_000
+GROWTH = 4
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -278,14 +279,32 @@ def _hot(documents: DataFrame, words: int) -> np.ndarray:
     return np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bitmap of the set's digests, of the power of two of bits that is twice its size or just above."""
+    size = max(64, 1 << max(0, 2 * len(own) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(own.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """How many elements of two sets are in one of them only, at least: bits of one bitmap that the other doesn't have."""
+    if len(one) > len(other):
+        one, other = other, one
+    small, large = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    if len(small) < len(large):  # a smaller bitmap is the larger one folded
+        large = np.bitwise_or.reduce(large.reshape(-1, len(small)), axis=0)
+    return int(np.bitwise_count(small ^ large).sum())
+
+
 def _prefixes(documents: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, fp, sig, n, prefix): n distinct shingles of digest sig; prefix are the first of them, hot ones last."""
+    """(doc_id, fp, sig, n, sketch, prefix): n distinct shingles of digest sig; prefix are the first of them, hot ones last."""
     shared = documents.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            fp, sig, size, prefix = [], [], [], []
+            fp, sig, size, bits, prefix = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = shingles(text.as_py(), words)
                 own = shingle_set(hashes)
@@ -295,45 +314,92 @@ def _prefixes(documents: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
                 fp.append(majority(hashes))
                 sig.append(int.from_bytes(xxhash.xxh64_digest(own.tobytes(), SEED), "big", signed=True))
                 size.append(len(own))
+                bits.append(sketch(own))
                 prefix.append(np.concatenate([own[~late], own[late]])[:first])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "fp", "sig", "n", "prefix"],
+                [batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "fp", "sig", "n", "sketch", "prefix"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sig long, n int, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sig long, n int, sketch binary, prefix array<long>")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose shingle sets are as similar as SIMILAR."""
+def _beside(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+    """`pairs` with the columns of `table` (id, ...) for the id in column `side`, named after it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An id of many pairs is dealt out: its row is copied once per PAIRS_A_COPY of them.
+    """
+    copies = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("_copies"))
+    rows = table.join(copies, "id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(copies.withColumnRenamed("id", side), side).withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies")).cast("int")).drop("_copies")
+    named = rows.select(F.col("id").alias(side), "_copy", *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"])
+    return dealt.join(named, [side, "_copy"]).drop("_copy")
+
+
+def _confirmed(pairs: DataFrame, facts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of documents whose shingle sets are as similar as SIMILAR.
+
+    Most others are told by the sketches in `facts` (id, n, sketch), which bound what two sets can have in common; the
+    texts of the rest are compared.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(shingles(text.as_py(), words)) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
-
-    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = []
-    for part in range(SLICES):
-        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == part)
-        named = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi")
-        sets = texts.mapInArrow(run, "id long, own array<long>")
-        both = some.join(sets.select(F.col("id").alias("a"), F.col("own").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("_b")), "b")
-        common = F.size(F.array_intersect("_a", "_b"))
-        found.append(cut(both.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()))
-    return reduce(DataFrame.unionByName, found)
+            limit = (batch.column("a_n").to_numpy().astype(np.int64) + batch.column("b_n").to_numpy()) * (SIMILAR[1] - SIMILAR[0])
+            least = [apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_sketch"), batch.column("b_sketch"), strict=True)]
+            keep = pa.array(np.array(least, np.int64) * sum(SIMILAR) <= limit)
+            yield batch.select(["a", "b"]).filter(keep)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, np.zeros(0, np.int64)
+        for batch in batches:
+            keep = []
+            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("a_text"), batch.column("b_text"), strict=True):
+                if name != a:
+                    name, held = a, shingle_set(shingles(one.as_py(), words))
+                own = shingle_set(shingles(two.as_py(), words))
+                common = len(np.intersect1d(held, own, assume_unique=True))
+                keep.append(SIMILAR[1] * common >= SIMILAR[0] * (len(held) + len(own) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs)
+    near = cut(_beside(_beside(pairs, "a", facts), "b", facts).mapInArrow(likely, "a long, b long"))
+    # Of rows with one id and different texts, any of the least set stands for the id; see `similar_texts`.
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(texts.join(involved, "id", "left_semi").distinct())
+    told = _beside(_beside(near, "a", texts), "b", texts).select("a", "b", "a_text", "b_text")
+    return cut(told.sortWithinPartitions("a").mapInArrow(alike, "a long, b long").distinct())
+
+
+def _meetings(met: DataFrame, first: int, last: int) -> DataFrame:
+    """Pairs (a, b) of different groups that meet at a shingle: a is one of its centres number `first` to `last`, b comes after it.
+
+    At a shingle that both name, what follows in either set bounds what they have in common.
+    """
+    centre = met.where((F.col("rank") >= first) & (F.col("rank") <= last)).select(
+        "shingle", *[F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "rank", "group")]
+    )
+    most = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
+    may = sum(SIMILAR) * most >= SIMILAR[0] * (F.col("n") + F.col("a_n"))
+    sized = (SIMILAR[1] * F.col("n") >= SIMILAR[0] * F.col("a_n")) & (SIMILAR[1] * F.col("a_n") >= SIMILAR[0] * F.col("n"))
+    later = (F.col("rank") > F.col("a_rank")) & ~F.col("group").eqNullSafe(F.col("a_group"))
+    return met.join(centre, "shingle").where(later & sized & may).select(F.col("a_rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """(doc_id, component_id) for every row of `documents` (doc_id, text): texts whose sets of word shingles have Jaccard
-    similarity 0.8 and more are linked, all such pairs and no others; component_id as in near_duplicates.
+    similarity 0.8 and more are linked, directly or through others; component_id as in near_duplicates.
 
     Texts of equal sets form one class. SimHash links (4 of 64 bits) are candidates; as 0.8 is about 10 bits, the rest comes
     from prefixes: in one order of all shingles, of n each text names the first n - ceil(0.8 n) + 1, and similar texts share a
-    named one. Common shingles are last in the order, so few name them. Whoever shares a named shingle first meets one of
-    them, chosen by hash; only those not linked by then meet each other. Every candidate is compared by its whole set; words,
-    null texts and rows without doc_id are as in near_duplicates, and shingles are equal if 64-bit digests are.
+    named one. Common shingles are last in the order, so few name them. Those who share a named shingle first meet one
+    of them, its centre: the one whose named shingles are the most common, which for a group of copies is their original.
+    The next centres meet only who is in another group by then, turn after turn, until all have met or are in
+    one group. Candidates are told by sketches, then by their whole texts; words, null texts and rows without doc_id are as in
+    near_duplicates, and shingles are equal if 64-bit digests are.
     """
     settle(documents.sparkSession)
     marked = cut(_prefixes(documents, words, _hot(documents, words)))
@@ -342,26 +408,32 @@ def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     near = links(alike.select("fp", F.col("least").alias("rep"))).unionByName(classes.join(alike, "fp").select(F.col("rep").alias("a"), F.col("least").alias("b")))
 
     firsts = marked.join(classes.select("sig", "n", F.col("rep").alias("doc_id")), ["sig", "n", "doc_id"], "left_semi")
-    named = firsts.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "shingle"))
-    twice = named.groupBy("shingle").count().where("count > 1").select("shingle")
-    met = cut(named.join(twice, "shingle"))
-    centres = met.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "rep").alias("_by"), F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))).alias("_c"))
-
-    # At the first shingle that both name, what follows in either set bounds what they have in common.
-    most = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
-    may = sum(SIMILAR) * most >= SIMILAR[0] * (F.col("n") + F.col("a_n"))
-    starred = met.join(centres.select("shingle", "_c.*"), "shingle").where(may).select("a", F.col("rep").alias("b"))
-    first = _confirmed(near.unionByName(starred), documents, words)
-
-    groups = connected_components(first, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("_to"))
-    placed = cut(met.join(groups, "rep", "left").withColumn("_to", F.coalesce("_to", "rep")))
-    open_ = placed.groupBy("shingle").agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).where("_lo < _hi").select("shingle")
-    left = placed.join(open_, "shingle")
-    right = left.select("shingle", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("_to").alias("a_to"))
-    rest = left.join(right, "shingle").where((F.col("a") < F.col("rep")) & (F.col("a_to") != F.col("_to")) & may).select("a", F.col("rep").alias("b"))
-    every = first.unionByName(_confirmed(rest, documents, words))
-    groups = connected_components(every, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("_least"))
-    least = classes.join(groups, "rep", "left").select("sig", "n", F.coalesce("_least", "rep").alias("component_id"))
+    facts = firsts.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id", "n"])
+    named = firsts.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "shingle")).distinct()
+    at_shingle = Window.partitionBy("shingle")
+    met = cut(named.withColumn("names", F.count(F.lit(1)).over(at_shingle)).where("names > 1"))
+    common = met.groupBy("rep").agg(F.sum(F.log("names")).alias("_sum"))
+    ranked = met.join(common, "rep").withColumn(
+        "rank", F.row_number().over(at_shingle.orderBy(F.desc(F.col("_sum") / F.col("n")), F.xxhash64("rep"), "rep"))
+    )
+    met = cut(ranked.select("shingle", "rep", "n", "pos", "rank"))
+    alone = met.withColumn("group", F.col("rep"))
+    found = _confirmed(near.unionByName(_meetings(alone, 1, 1)), facts, documents, words)
+    first = 2
+    while True:
+        groups = connected_components(found, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("group"))
+        placed = met.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+        # Shingles whose texts are not in one group yet, and have not all been centres.
+        unlike = placed.groupBy("shingle").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"), F.max("rank").alias("_last"))
+        open_ = unlike.where(f"_lo < _hi and _last > {first}").select("shingle")
+        met = cut(placed.join(open_, "shingle", "left_semi").drop("group"))
+        if met.isEmpty():
+            break
+        placed = met.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+        last = GROWTH * first
+        found = found.unionByName(_confirmed(_meetings(placed, first, last), facts, documents, words))
+        first = last + 1
+    least = classes.join(groups, "rep", "left").select("sig", "n", F.coalesce("group", "rep").alias("component_id"))
     return marked.select("doc_id", "sig", "n").join(least, ["sig", "n"], "left").select("doc_id", "component_id")
 
 
@@ -370,10 +442,13 @@ def keep_representatives(documents: DataFrame) -> DataFrame:
 
     It is the one with the smallest doc_id; of repeated rows with this id the one with the smallest text stays. Rows without doc_id stay.
     """
-    first = similar_texts(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    found = documents.join(first, documents.doc_id == F.col("_first"), "left_semi")
-    ordered = found.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return ordered.where("_nth = 1").drop("_nth").unionByName(documents.where("doc_id is null"))
+    first = similar_texts(documents).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # A row as one value, so that its columns may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", whole)
+    found = rows.join(first, "id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("text")))
+    kept = found.where("nth = 1").select("row").unionByName(rows.where("id is null").select("row"))
+    return kept.select("row.*")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> pd.DataFrame:

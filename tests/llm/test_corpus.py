@@ -344,10 +344,98 @@ def test_viterbi_splits_words():
     assert split("riverstone") == ["river", "stone"] and split("") == [] and split("qq") == ["qq"]
 
 
+BODY = "<p>" + "word here and there again " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("opened", ['<div class="layout has-sidebar">', '<main class="no-sidebar">', '<article class="post share-enabled">', '<div class="search-result-article">', '<div class="sidebar-layout">', '<div class="widget-area"><div class="banner">'])
+def test_names_do_not_veto_the_frame_of_the_article(opened):
+    page = f"<body><nav>a b c</nav>{opened}{BODY}</div></main></article><div class='sidebar'><p>buy this now</p></div></body>"
+    assert html.main_text(page, html.Weights()) == ("word here and there again " * 20).strip()
+
+
+def test_long_comments_and_marked_comments_stay_out():
+    page = f"<body><div>{BODY}</div><div class='comments'>{BODY.replace('word', 'reply') * 5}</div></body>"
+    assert html.main_text(page, html.Weights()) == ("word here and there again " * 20).strip()
+    page = f"<body><main>{BODY}</main><article class='comment'><p>I think so too</p></article></body>"
+    assert "think" not in html.main_text(page, html.Weights())
+
+
+@pytest.mark.parametrize("part", ["<div>", '<div><a "x>', "<div>x</b>", "<span><li>", "<p><span>", "<div class='sidebar'>", "<a \"x'>", '<a "x>y'])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        started = time.process_time()
+        html.scan("<b>" + part * n + BODY)
+        return time.process_time() - started
+
+    seconds(1000)
+    assert seconds(32_000) < 8
+
+
+def test_many_contested_values_end(spark):
+    """One item whose figures meet two values each: a search by recursion would be as deep as they are many."""
+    windows = [(k, frozenset({(f"a{k}", "x"), (f"b{k}", f"y{k}")})) for k in range(1200)]
+    held = decontaminate.largest_consistent(windows)
+    assert len(held) >= 1
+    few = [(0, frozenset({("5", "5")})), (1, frozenset({("5", "6")})), (2, frozenset({("5", "5"), ("7", "8")}))]
+    assert [pos for pos, _ in decontaminate.largest_consistent(few)] == [0, 2]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["_first", "_leaked", "_nth", "id", "row", "nth"]
+    rows = [(1, prose(1), *"abcdef"), (2, prose(1), *"abcdef"), (3, prose(2) + ". " + ITEM, *"ghijkl"), (None, prose(3), *"mnopqr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r._first, r.nth) for r in kept.collect()) == [(0, "m", "r"), (1, "a", "f"), (3, "g", "l")]
+    clean = decontaminate.without_leaks(docs, bench)
+    assert clean.columns == docs.columns and sorted((r.doc_id or 0, r._leaked) for r in clean.collect()) == [(0, "n"), (1, "b"), (2, "b")]
+
+
+def test_sketches_bound_what_two_sets_have_apart():
+    r = np.random.default_rng(4)
+    for n, m, common in ((5, 5, 5), (300, 310, 290), (2000, 150, 100), (40_000, 39_000, 30_000), (0, 3, 0)):
+        shared = r.integers(-(1 << 62), 1 << 62, common)
+        one, two = (np.unique(np.concatenate([shared, r.integers(-(1 << 62), 1 << 62, k - common)])) for k in (n, m))
+        apart = len(np.setxor1d(one, two))
+        found = simhash.apart(simhash.sketch(one), simhash.sketch(two))
+        assert found <= apart and (2 * min(n, m) < max(n, m) or found > 0.3 * apart - 1)
+
+
+def test_near_copies_of_one_text_meet_through_it(spark):
+    """300 copies of one text, each with words of its own: hardly two of them are similar, all of them to the original."""
+    r = random.Random(12)
+    base = [f"{r.choice(WORDS)}{r.randrange(500)}" for _ in range(200)]
+    rows = [(1000, " ".join(base))]
+    for k in range(300):
+        words = base[:]
+        for at in r.sample(range(0, 200, 6), 4):
+            words[at] = f"own{k}x{at}"
+        rows.append((2000 + k, " ".join(words)))
+    rows += [(5000 + k, prose(900 + k, 80)) for k in range(40)]
+    docs = frame(spark, rows).repartition(4)
+    meetings = []
+    plain = simhash._confirmed
+
+    def counted(pairs, *rest):
+        meetings.append(pairs.count())
+        return plain(pairs, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "_confirmed", counted)
+        got = dict(simhash.similar_texts(docs).collect())
+    assert all(got[2000 + k] == 1000 for k in range(300)) and len({got[5000 + k] for k in range(40)}) == 40
+    assert sum(meetings) < 3000
+
+
 def test_empty_tables(spark):
     docs, pages = frame(spark, []), spark.createDataFrame([], PAGES)
     labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "decontamination":
+            assert stage(spark, docs, "").count() == 0, name
     results = [
         warc.read(warc.write(pages)), suffixes.report(docs), ann.nearest(vectors), simhash.near_duplicates(docs), quality.classify(docs, labels), html.extract(pages),
         urls.judge(pages), language.predict_documents(docs)[0], decontaminate.matches(docs, bench), packing.pack(docs, public_tokenizers.path(packing.TOKENIZER)),
