@@ -183,7 +183,7 @@ def import_files_report(spark, sf_dir):
     """JSON arrays, one file per user group, imported whole: ids missing, times missing, what became of every file."""
     made = _uploads(spark, sf_dir).withColumn("part", (F.col("n") % 5).cast("int"))
     whole = made.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "payload"))), lambda x: x["payload"]), ","), F.lit("]")).alias("value"))
-    folder = _uploaded(whole, lambda df, to: df.repartition(5, "part").select("value").write.text(to), "json")
+    folder = _uploaded(whole, lambda df, to: df.repartition("part").write.partitionBy("part").text(to), "json")
     report = ingest.import_files(spark, folder, scratch_folder(spark), "query", "tenant_1", "canonical")
     names = ["records_received", "parse_failed", "raw_records_stored", "normalized", "normalization_failed"]
     return report.where("records_received > 0").groupBy("format", "status").agg(F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in names])
@@ -741,7 +741,7 @@ def refused_packages(spark, sf_dir):
     """Events as packages by user; some without a tenant, a position or an id, some of two tenants."""
     e, u = table(spark, sf_dir, "events"), F.col("user_id") % 7
     rows = e.select(
-        F.when(F.col("user_id") % 50 != 3, F.col("user_id")).alias("package_id"),
+        F.when(F.col("user_id") % 50 != 3, F.concat(F.lit("p"), I.text("user_id"))).alias("package_id"),
         F.when((u != 1) | (F.col("event_id") % 2 == 0), F.when((u == 2) & (F.col("event_id") % 2 == 0), "b").otherwise("a")).alias("tenant_id"),
         F.when(u != 4, F.col("event_id")).alias("item_no"), F.when((u != 5) | (F.col("event_id") % 3 == 0), F.col("event_id")).alias("id"),
     )

@@ -563,7 +563,7 @@ select i.package_id, case when h.n is null then i.n else 0 end as items, coalesc
 from (select package_id, count(*) as n from items group by package_id) i left join held h using (package_id)"""
 ORACLES["refused_packages"] = """
 with rows as (
-  select case when user_id % 50 <> 3 then user_id end as package_id, user_id % 7 as u, event_id from events),
+  select case when user_id % 50 <> 3 then 'p' || user_id end as package_id, user_id % 7 as u, event_id from events),
 marked as (
   select package_id, bool_or(u = 1 and event_id % 2 <> 0) as no_tenant,
     count(distinct case when u = 1 and event_id % 2 <> 0 then null when u = 2 and event_id % 2 = 0 then 'b' else 'a' end) > 1 as mixed,

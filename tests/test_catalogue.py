@@ -14,7 +14,8 @@ QUICK = [
     "active_incident_jobs", "stage_durations", "pipeline_status", "latest_job", "stale_jobs", "job_reuse", "evidence_top50",
     "validate_assessments", "redact_secrets", "withheld_text", "private_addresses", "message_aliases", "mixed_packages",
     "incidents_assigned", "incident_memberships", "incident_details", "explanation_anchors", "stream_dedup", "stream_signals",
-    "stream_dashboard",
+    "stream_dashboard", "dense_entity_links", "dense_entity_best_links", "import_jsonl", "import_csv", "import_files_report",
+    "envelope_sources", "alerts_looked_up", "job_outcomes", "leak_scan", "released_packages", "refused_packages",
 ]
 
 
