@@ -42,10 +42,11 @@ def _code(form: str) -> int:
 def kind(token: str) -> tuple[str, bool]:
     """(canonical form, is a slot) of one token stripped of punctuation. A capital letter before small ones marks a name."""
     small = token.lower()
-    if NUMBER.fullmatch(small):
-        return "<num>", True
-    if (m := NUMBER_UNIT.fullmatch(small)) and m[2] in UNITS:
-        return "<num><unit>", True
+    if small[:1].isdigit() or small[:1] in "+-":  # only so do numbers begin
+        if NUMBER.fullmatch(small):
+            return "<num>", True
+        if (m := NUMBER_UNIT.fullmatch(small)) and m[2] in UNITS:
+            return "<num><unit>", True
     if small in UNITS and len(small) > 1:
         return "<unit>", True
     if token[:1].isupper() and token[1:] != token[1:].upper():
@@ -81,7 +82,7 @@ class Canon:
         if token:
             form, self.slot[at] = kind(token)
             self.code[at] = _code(form)
-            self.literal[at] = _code(token.lower())
+            self.literal[at] = _code(token.lower()) if self.slot[at] else self.code[at]
             self.name[at] = form == "<name>"
         self.ends[at] = word.rstrip("\"'”’)").endswith((".", "!", "?", ":"))
         self.number[word] = at
