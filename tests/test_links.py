@@ -258,3 +258,27 @@ def test_rows_without_fingerprint_go_around_the_join(spark):
     assert dedup.new_deliveries(alerts, history).count() == 91
     known = dedup.first_deliveries(alerts).where("dedup_fingerprint is not null").select("tenant_id", "dedup_fingerprint", "id")
     assert dedup.new_deliveries(alerts, known).count() == 90
+
+
+def test_partners_of_whole_classes_are_not_listed(spark, monkeypatch):
+    """Counts equal those of the listed pairs; a class of which all pairs are in one band is counted by rank."""
+    from alertweave.operators import link_classes
+
+    rng = random.Random(5)
+    rows = [(f"s{i:03d}", rng.randrange(900) * 1_000_000, rng.choice([0, 700])) for i in range(150)]
+    s = spark.createDataFrame([("t", i, a, a + d * 1_000_000) for i, a, d in rows], "tenant_id string, signal_id string, first_us bigint, last_us bigint")
+    e = spark.createDataFrame([("t", i, "HASH", "h") for i, _, _ in rows], "tenant_id string, signal_id string, entity_type string, entity_value string")
+    policy = model.CorrelationPolicy()
+    listing = link_classes.expand
+    for cell in (300_000_000, 7_200_000_000):
+        found = link_classes.class_links(s, e, policy, cell_us=cell)
+        for links in (found.links, found.links.where("left_class_id = right_class_id")):
+            want = listing(found, links, policy).groupBy("left_signal_id", "score").count()
+            got = link_classes.partners(found, links, policy).select("left_signal_id", "score", "partners")
+            assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+        if cell == 300_000_000:
+            seen = []
+            monkeypatch.setattr(link_classes, "expand", lambda f, rows, p: seen.append(rows.count()) or listing(f, rows, p))
+            link_classes.partners(found, found.links.where("left_class_id = right_class_id"), policy)
+            monkeypatch.undo()
+            assert seen == [0]
