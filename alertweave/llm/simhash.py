@@ -330,11 +330,11 @@ def _beside(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
     An id of many pairs is dealt out: its row is copied once per PAIRS_A_COPY of them.
     """
     copies = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("_copies"))
-    rows = table.join(copies, "id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    rows = table.join(copies.hint("merge"), "id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     other = "b" if side == "a" else "a"
-    dealt = pairs.join(copies.withColumnRenamed("id", side), side).withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies")).cast("int")).drop("_copies")
+    dealt = pairs.join(copies.withColumnRenamed("id", side).hint("merge"), side).withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies")).cast("int")).drop("_copies")
     named = rows.select(F.col("id").alias(side), "_copy", *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"])
-    return dealt.join(named, [side, "_copy"]).drop("_copy")
+    return dealt.join(named.hint("merge"), [side, "_copy"]).drop("_copy")
 
 
 def _confirmed(pairs: DataFrame, facts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
@@ -431,7 +431,9 @@ def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
             break
         placed = met.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
         last = GROWTH * first
-        found = found.unionByName(_confirmed(_meetings(placed, first, last), facts, documents, words))
+        # What was found before goes on as stars: a row per text, already contracted.
+        stars = groups.where("rep <> group").select(F.col("rep").alias("a"), F.col("group").alias("b"))
+        found = stars.unionByName(_confirmed(_meetings(placed, first, last), facts, documents, words))
         first = last + 1
     least = classes.join(groups, "rep", "left").select("sig", "n", F.coalesce("group", "rep").alias("component_id"))
     return marked.select("doc_id", "sig", "n").join(least, ["sig", "n"], "left").select("doc_id", "component_id")
