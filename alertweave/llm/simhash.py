@@ -324,17 +324,21 @@ def _prefixes(documents: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sig long, n int, sketch binary, prefix array<long>")
 
 
-def _beside(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
-    """`pairs` with the columns of `table` (id, ...) for the id in column `side`, named after it.
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with the columns of `table` (id, ...) for either id, named a_... and b_...
 
-    An id of many pairs is dealt out: its row is copied once per PAIRS_A_COPY of them.
+    An id of many pairs is dealt out: its row is copied once per PAIRS_A_COPY of them. There are fewer such ids than pairs / PAIRS_A_COPY,
+    and only they are counted out to all tasks.
     """
-    copies = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("_copies"))
-    rows = table.join(copies.hint("merge"), "id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    other = "b" if side == "a" else "a"
-    dealt = pairs.join(copies.withColumnRenamed("id", side).hint("merge"), side).withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies")).cast("int")).drop("_copies")
-    named = rows.select(F.col("id").alias(side), "_copy", *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"])
-    return dealt.join(named.hint("merge"), [side, "_copy"]).drop("_copy")
+    told = pairs
+    for side, other in ("ab", "ba"):
+        many = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("_copies")).where("_copies > 1")
+        copies = F.coalesce("_copies", F.lit(1))
+        rows = table.join(F.broadcast(many), "id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        named = rows.select(F.col("id").alias(side), "_copy", *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"])
+        dealt = told.join(F.broadcast(many.withColumnRenamed("id", side)), side, "left").withColumn("_copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("_copies")
+        told = dealt.join(named.hint("merge"), [side, "_copy"]).drop("_copy")
+    return told
 
 
 def _confirmed(pairs: DataFrame, facts: DataFrame, documents: DataFrame, words: int) -> DataFrame:
@@ -365,12 +369,12 @@ def _confirmed(pairs: DataFrame, facts: DataFrame, documents: DataFrame, words:
 
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
-    near = cut(_beside(_beside(pairs, "a", facts), "b", facts).mapInArrow(likely, "a long, b long"))
+    near = cut(_beside(pairs, facts).mapInArrow(likely, "a long, b long"))
     # Of rows with one id and different texts, any of the least set stands for the id; see `similar_texts`.
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = cut(texts.join(involved, "id", "left_semi").distinct())
-    told = _beside(_beside(near, "a", texts), "b", texts).select("a", "b", "a_text", "b_text")
+    told = _beside(near, texts).select("a", "b", "a_text", "b_text")
     return cut(told.sortWithinPartitions("a").mapInArrow(alike, "a long, b long").distinct())
 
 
@@ -421,7 +425,7 @@ def similar_texts(documents: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     found = _confirmed(near.unionByName(_meetings(alone, 1, 1)), facts, documents, words)
     first = 2
     while True:
-        groups = connected_components(found, "a", "b").select(F.col("signal_id").alias("rep"), F.col("component").alias("group"))
+        groups = connected_components(found, "a", "b", keep=lambda df: df).select(F.col("signal_id").alias("rep"), F.col("component").alias("group"))
         placed = met.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
         # Shingles whose texts are not in one group yet, and have not all been centres.
         unlike = placed.groupBy("shingle").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"), F.max("rank").alias("_last"))
