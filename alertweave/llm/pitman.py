@@ -13,7 +13,8 @@ each. So a sweep moves some bytes per distinct word of a shard, never pairs or c
 All that is counted grows with the input; the driver sees a few sums and the contexts that are dealt out, at most as many as
 there are shards.
 
-Within one move, customers of different words leave and sit down at the same time, seeing the tables of before; the parent
+In a sweep every customer of every pair leaves once and sits down again. Customers of different words do so at the same time,
+seeing the tables of before, and so do those of one pair beyond 32 customers, one in 32 of them at a time; the parent
 seats all of its customers anew each time, those beyond 32 in steps of one in 32.
 """
 
@@ -40,8 +41,8 @@ from alertweave.session import Scratch
 BATCH = 1 << 20
 PAIRS = 1 << 19
 WORDS = 1 << 20
-#: Sweeps before and while seatings are averaged, and how many customers of a pair each of them seats anew.
-BURN, SAMPLES, MOVES = 3, 3, 8
+#: Sweeps before and while seatings are averaged, each of which seats every customer anew, and in how many parts those of a pair move.
+BURN, SAMPLES, PARTS = 3, 3, 32
 STRENGTH = 1.0
 #: Words are known by 56 bits of their hash; two of a billion words fall together with a chance of about one in 70 million.
 MASK = (1 << 56) - 1
@@ -334,41 +335,54 @@ class Root:
         return (value + self.rest) / (STRENGTH + self.customers)
 
 
-def reseat(rng: np.random.Generator, sizes: np.ndarray, tables: np.ndarray, count_: np.ndarray, context: np.ndarray, held: np.ndarray, parent: np.ndarray, discount: float, moves: int = MOVES):
-    """Up to `moves` customers of each pair leave and sit down again. Pairs come with falling counts of two or more.
+def reseat(rng: np.random.Generator, sizes: np.ndarray, tables: np.ndarray, count_: np.ndarray, context: np.ndarray, held: np.ndarray, parent: np.ndarray, discount: float):
+    """Every customer of each pair leaves once, in random order, and sits down again. Pairs come with falling counts of two or more.
 
-    `sizes` are the customers of all tables, pair by pair, `tables` how many each pair has; `held` the tables of each context.
+    Pairs of up to PARTS customers move them one at a time, larger ones one in PARTS of them. `sizes` are the customers of all
+    tables, pair by pair, `tables` how many each pair has; `held` the tables of each context.
     Gives the new sizes and tables; `held` is changed in place.
     """
-    room = tables + np.minimum(count_, moves)
-    first = np.concatenate([[0], np.cumsum(room)])
-    slots = np.zeros(first[-1], np.int64)
-    slots[np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(tables)[:-1]]), tables) + np.arange(len(sizes))] = sizes
-    free, tables = first[:-1] + tables, tables.astype(np.int64).copy()
-    for move in range(moves):
-        k = int(np.searchsorted(-count_, -move, side="left"))  # pairs with more than `move` customers
+    own, tables, count_ = sizes.astype(np.int64), tables.astype(np.int64), count_.astype(np.int64)
+    length = tables.copy()  # slots of each pair: its tables, and those left empty on the way
+    first = np.cumsum(length) - length
+    queue = np.cumsum(count_) - count_
+    seat_of = np.repeat(np.arange(len(own)) - np.repeat(first, length), own)  # as a place among the pair's slots
+    seat_of = seat_of[np.argsort(np.repeat(np.arange(len(count_)), count_) + rng.random(len(seat_of)))]
+    done: list[np.ndarray] = []
+    for part in range(PARTS):
+        k = int(np.searchsorted(-count_, -part, side="left"))  # pairs with more than `part` customers
         if k == 0:
             break
-        own, n, at, start = slots[: first[k]], count_[:k], context[:k], first[:k]
-        ends = np.cumsum(own)
-        left = np.searchsorted(ends, ends[start] - own[start] + (rng.random(k) * n).astype(np.int64), side="right")
-        own[left] -= 1
-        gone = own[left] == 0
+        n, at, length, first = count_[:k], context[:k], length[:k], first[:k]
+        end = int(first[-1] + length[-1])
+        done.append(own[end:])
+        own = own[:end]
+        parts = np.minimum(n, PARTS)
+        start, leave = n * part // parts, n * (part + 1) // parts - n * part // parts
+        pair = np.repeat(np.arange(k), leave)
+        left = first[pair] + seat_of[np.repeat(queue[:k] + start - np.cumsum(leave) + leave, leave) + np.arange(len(pair))]
+        own = own - np.bincount(left, minlength=end)
+        emptied = np.unique(left[own[left] == 0])
+        gone = np.bincount(np.searchsorted(first, emptied, side="right") - 1, minlength=k)
         tables[:k] -= gone
-        np.subtract.at(held, at[gone], 1)
+        np.subtract.at(held, at, gone)
         fresh = (STRENGTH + discount * held[at]) * parent[:k]
-        join = n - 1 - discount * tables[:k]
-        opens = rng.random(k) * (fresh + join) < fresh
-        weight = np.cumsum(own - discount * (own > 0))
-        chosen = np.searchsorted(weight, weight[start] - (own[start] - discount * (own[start] > 0)) + rng.random(k) * join, side="right")
-        chosen = np.clip(chosen, start, first[1 : k + 1] - 1)
+        join = n - leave - discount * tables[:k]
+        opens = rng.random(len(pair)) * (fresh + join)[pair] < fresh[pair]
+        free = own - discount * (own > 0)
+        weight = np.cumsum(free)
+        chosen = np.searchsorted(weight, (weight[first] - free[first])[pair] + rng.random(len(pair)) * join[pair], side="right")
+        chosen = np.clip(chosen, first[pair], (first + length - 1)[pair])
         chosen = np.where(own[chosen] > 0, chosen, left)  # rounding at the edge of a pair: back to the old seat
         opens |= own[chosen] == 0
-        chosen[opens] = free[:k][opens]
-        free[:k] += opens
-        own[chosen] += 1
-        tables[:k] += opens
-        np.add.at(held, at[opens], 1)
+        own = own + np.bincount(chosen[~opens], minlength=end)
+        opened = np.bincount(pair[opens], minlength=k)
+        own = np.insert(own, np.repeat(first + length, opened), 1)
+        length = length + opened
+        first = np.cumsum(length) - length
+        tables[:k] += opened
+        np.add.at(held, at, opened)
+    slots = np.concatenate([own, *done[::-1]])
     return slots[slots > 0], tables
 
 

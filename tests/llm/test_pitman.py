@@ -171,6 +171,25 @@ def test_reseating_samples_the_seating():
     assert np.abs(np.bincount(tables, minlength=4)[1:] / n - want).max() < 0.04
 
 
+@pytest.mark.parametrize("customers", [20, 200])
+def test_a_sweep_reseats_every_customer(customers):
+    """Pairs start at one table; after some sweeps their tables follow the exact distribution, however many customers they have."""
+    rng, d, base = np.random.default_rng(9), 0.6, 0.3
+    n = 2000
+    sizes, tables, held = np.full(n, customers), np.ones(n, np.int64), np.ones(n, np.int64)
+    for _ in range(12):
+        sizes, tables = pitman.reseat(rng, sizes, tables, np.full(n, customers), np.arange(n), held, np.full(n, base), d)
+    exact = np.zeros(customers + 1)  # of seatings with so many tables, one customer after the other
+    exact[1] = 1.0
+    k = np.arange(customers + 1)
+    for seated in range(1, customers):
+        opened = np.concatenate([[0.0], (exact * (1 + d * k) * base)[:-1]])
+        exact = exact * np.maximum(seated - d * k, 0) + opened
+        exact /= exact.sum()
+    mean = (exact * k).sum()
+    assert abs(tables.mean() - mean) < 0.05 * mean, (tables.mean(), mean)
+
+
 def test_parent_seats_everyone_once():
     rng = np.random.default_rng(7)
     customers = np.array([0, 1, 2, 5, 100_000, 3])
