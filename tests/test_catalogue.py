@@ -39,5 +39,11 @@ def test_query_equals_sql(spark, duck, name):
     assert same(rows_of(ours), rows_of(theirs))
 
 
+@pytest.mark.parametrize("name", ["normalize_xdr", "normalize_canonical"])
+def test_one_row_group_is_normalised_by_all_cores(spark, name):
+    rows = entry.queries()[name](spark, SF).select("raw_event_id").rdd.glom().map(len).collect()
+    assert sum(n > 0 for n in rows) >= spark.sparkContext.defaultParallelism and max(rows) < sum(rows) / 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 988
