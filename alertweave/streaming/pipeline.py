@@ -354,23 +354,25 @@ def edge_stream(profiles: DataFrame, policy: model.CorrelationPolicy | None = No
         .withColumn("entity", F.explode("primary"))
         .withColumn("first_us", C.to_us(F.col("first_seen"))).withColumn("last_us", C.to_us(F.col("last_seen")))
     )
-    # Met in stretches of time as long as the window, so a signal is not compared with all that ever shared its entity.
-    tagged = candidates._in_buckets(tagged, policy.window_us)
+    # Met in stretches of time as long as the window, so a signal is not compared with all that ever shared its entity: where
+    # the later one begins. So one side holds a signal once an entity, only the other one in all stretches it reaches.
+    reaching = candidates._in_buckets(tagged, policy.window_us)
+    beginning = tagged.withColumn("bucket", F.expr(f"first_us div {policy.window_us}"))
 
-    def side(name: str) -> DataFrame:
-        return tagged.select(*[F.col(c).alias(f"{name}_{c}") for c in tagged.columns]).withWatermark(f"{name}_last_seen", delay)
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns]).withWatermark(f"{name}_last_seen", delay)
 
-    joined = side("a").join(
-        side("b"),
+    later = (F.col("b_first_us") > F.col("a_first_us")) | ((F.col("b_first_us") == F.col("a_first_us")) & (F.col("b_signal_id") > F.col("a_signal_id")))
+    joined = side(reaching, "a").join(
+        side(beginning, "b"),
         (F.col("a_tenant_id") == F.col("b_tenant_id")) & (F.col("a_entity") == F.col("b_entity")) & (F.col("a_bucket") == F.col("b_bucket"))
-        & (F.col("a_signal_id") < F.col("b_signal_id"))
+        & (F.col("a_signal_id") != F.col("b_signal_id")) & later
         & (F.col("b_first_seen") <= F.col("a_last_seen") + window)
         & (F.col("b_last_seen") >= F.col("a_first_seen") - window)
         & (F.col("b_last_seen") <= F.col("a_last_seen") + window + F.expr(f"interval {longest}"))
         & (F.col("b_last_seen") >= F.col("a_last_seen") - window - F.expr(f"interval {longest}")),
     )
-    begins = F.expr(f"greatest(a_first_us, b_first_us) div {policy.window_us}")
-    once = joined.where((begins == F.col("a_bucket")) & (F.col("a_entity") == F.array_min(F.array_intersect("a_primary", "b_primary"))))
+    once = joined.where(F.col("a_entity") == F.array_min(F.array_intersect("a_primary", "b_primary")))
     scored = edges._score(once.withColumn("tenant_id", F.col("a_tenant_id")), edges._by_arrays(), policy)
     return edges.with_edge_id(scored.where(F.col("score") >= policy.edge_threshold), policy)
 
